@@ -6,84 +6,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitframe.contracts import WIDTHS
-from remitframe.functions.edi import adjustment_entries, diagnosis_entries, is_zero, overflows
-from remitframe.operators.claims import (
-    claim_rows, element, line_rows, of_family, prior_control_numbers,
+from remitframe.functions.edi import (
+    adjustment_entries, diagnosis_entries, is_zero, overflows, split_composite, split_on,
 )
-from remitframe.operators.remits import remark_codes, remittance_rows
+from remitframe.operators.claims import claim_rows, element, prior_control_numbers
 
 
-def _too_long(table: str, columns: list[str]) -> Column:
-    """First column of ``columns`` whose text exceeds its width, as a reason, or null."""
-    return F.coalesce(*[
-        F.when(F.length(c) > WIDTHS[table][c],
-               F.lit(f"value too long for {table}.{c}({WIDTHS[table][c]})")) for c in columns])
+def _wide(table: str, column: str, text: Column) -> Column:
+    width = WIDTHS[table][column]
+    return F.when(F.length(text) > width, F.lit(f"value too long for {table}.{column}({width})"))
 
 
-def _too_big(what: str, text: Column, precision: int = 12) -> Column:
+def _big(what: str, text: Column, precision: int = 12) -> Column:
     return F.when(overflows(text, precision, 2), F.lit(f"numeric overflow in {what}"))
 
 
+def _broken_rule() -> Column:
+    """First rule that the row made from this segment would break, or null."""
+    name = F.col("segment_name")
+    on_remit = F.col("remittance_claim_id").isNotNull()
+    parts = split_composite(element(5), F.col("component_sep"))
+    service = split_composite(element(1), F.col("component_sep"))
+    dx = diagnosis_entries(F.col("elements"), F.col("component_sep"))
+    cas = adjustment_entries(F.col("elements"))
+
+    def any_wide(entries, table, column, field):
+        width = WIDTHS[table][column]
+        return F.when(F.exists(entries, lambda x: F.length(x[field]) > width),
+                      F.lit(f"value too long for {table}.{column}({width})"))
+    claim = F.coalesce(
+        _wide("claims", "claim_number", element(1)),
+        _wide("claims", "payer_name", F.col("payer_name")),
+        _wide("claims", "patient_member_id", F.col("patient_member_id")),
+        _wide("claims", "facility_type_code", F.get(parts, F.lit(0))),
+        _wide("claims", "frequency_code", F.get(parts, F.lit(2))),
+        _big("claims.total_charge_amount", element(2)))
+    line = F.coalesce(
+        _wide("claim_lines", "procedure_code", F.get(service, F.lit(1))),
+        _wide("claim_lines", "modifier1", F.get(service, F.lit(2))),
+        _wide("claim_lines", "modifier2", F.get(service, F.lit(3))),
+        _wide("claim_lines", "place_of_service", element(5)),
+        _big("claim_lines.billed_amount", element(2)),
+        F.when(~is_zero(element(4)), _big("claim_lines.units", element(4), 10)))
+    payment = F.coalesce(
+        _wide("remittance_claims", "claim_number", element(1)),
+        _wide("remittance_claims", "claim_status_code", element(2)),
+        _wide("remittance_claims", "payer_claim_control_number", element(7)),
+        _big("remittance_claims.billed_amount", element(3)),
+        _big("remittance_claims.paid_amount", element(4)))
+    adjustment = F.when(F.size(cas) > 0, F.coalesce(
+        _wide("adjustments", "adjustment_group_code", element(1)),
+        any_wide(cas, "adjustments", "adjustment_reason_code", "reason"),
+        F.when(F.exists(cas, lambda a: overflows(a["amount"])),
+               F.lit("numeric overflow in adjustments.adjustment_amount"))))
+    remark = F.coalesce(F.nullif(element(2), F.lit("")), element(1))
+    diagnosis = F.coalesce(any_wide(dx, "diagnoses", "diagnosis_code", "diagnosis_code"),
+                           any_wide(dx, "diagnoses", "diagnosis_type", "diagnosis_type"))
+    return F.coalesce(
+        _wide("raw_segments", "segment_name", name),
+        F.when(F.contains(F.col("raw_segment_text"), F.lit("\0")),
+               F.lit("text holds a NUL character")),
+        F.when(F.col("clm_ok"), claim).when(F.col("sv1_ok"), line)
+        .when((name == "HI") & F.col("claim_id").isNotNull(), diagnosis)
+        .when(F.col("clp_ok"), payment)
+        .when((name == "CAS") & on_remit & (element(1) != ""), adjustment)
+        .when((name == "LQ") & on_remit, _wide("remark_codes", "remark_code", remark)))
+
+
 def violations(annotated: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Every broken rule: ``upload_seq, seg_pos, reason``. File-level rules have no position."""
-    def rows(df, reason, position="seg_pos"):
-        at = F.col(position) if position else F.lit(None)
-        return df.select("upload_seq", at.cast("int").alias("seg_pos"), reason.alias("reason"))
+    """Every broken rule: ``upload_seq, seg_pos, reason``.
 
-    def width(df, table, position="seg_pos"):
-        columns = [c for c in WIDTHS[table] if c in df.columns]
-        return rows(df, _too_long(table, columns), position)
-    zero_nul = F.when(F.contains(F.col("raw_segment_text"), F.lit("\0")),
-                      F.lit("text holds a NUL character"))
-    dx = F.transform(
-        diagnosis_entries(F.col("elements"), F.col("component_sep")),
-        lambda d: (F.length(d["diagnosis_code"]) > WIDTHS["diagnoses"]["diagnosis_code"])
-        | (F.length(d["diagnosis_type"]) > WIDTHS["diagnoses"]["diagnosis_type"]))
-    cas = adjustment_entries(F.col("elements"))
-    long_reason = F.exists(cas, lambda a: F.length(a["reason"])
-                           > WIDTHS["adjustments"]["adjustment_reason_code"])
-    big_amount = F.exists(cas, lambda a: overflows(a["amount"]))
-    clm = of_family(annotated, "CLM").where("clm_ok")
-    sv1 = of_family(annotated, "SV1").where("sv1_ok")
-    clp = of_family(annotated, "CLP").where("clp_ok")
-    open_cas = of_family(annotated, "CAS").where(
-        F.col("remittance_claim_id").isNotNull() & (element(1) != ""))
-    checks = [
-        rows(annotated, F.coalesce(_too_long("raw_segments", ["segment_name"]), zero_nul)),
-        width(claim_rows(annotated), "claims"),
-        rows(clm, _too_big("claims.total_charge_amount", element(2))),
-        width(line_rows(annotated), "claim_lines"),
-        rows(sv1, F.coalesce(
-            _too_big("claim_lines.billed_amount", element(2)),
-            F.when(~is_zero(element(4)), _too_big("claim_lines.units", element(4), 10)))),
-        rows(of_family(annotated, "HI").where("claim_id is not null"),
-             F.when(F.exists(dx, lambda bad: bad), F.lit("value too long for diagnoses"))),
-        width(remittance_rows(annotated), "remittance_claims"),
-        rows(clp, F.coalesce(_too_big("remittance_claims.billed_amount", element(3)),
-                             _too_big("remittance_claims.paid_amount", element(4)))),
-        rows(open_cas, F.coalesce(
-            F.when(F.exists(cas, lambda a: F.lit(True)), F.when(
-                F.length(element(1)) > WIDTHS["adjustments"]["adjustment_group_code"],
-                F.lit("value too long for adjustments.adjustment_group_code(5)"))),
-            F.when(long_reason,
-                   F.lit("value too long for adjustments.adjustment_reason_code(10)")),
-            F.when(big_amount, F.lit("numeric overflow in adjustments.adjustment_amount")))),
-        width(remark_codes(annotated), "remark_codes", None),
-        width(prior_control_numbers(annotated).withColumnRenamed(
-            "control_no", "previous_payer_claim_control_no"), "claims", "target"),
-        width(catalogue, "edi_files", None),
-        rows(claim_rows(annotated).groupBy("upload_seq", "claim_number").agg(
-            F.count(F.lit(1)).alias("n"), F.max("seg_pos").alias("seg_pos")).where("n > 1"),
-            F.lit("duplicate key (edi_file_id, claim_number) in claims")),
-    ]
-    out = checks[0].where("reason is not null")
-    for c in checks[1:]:
-        out = out.unionByName(c.where("reason is not null"))
-    return out
+    One pass over the segments covers the row rules; the rest are keyed by claim or file.
+    """
+    by_row = annotated.withColumn("elements", split_on(
+        F.col("raw_segment_text"), F.col("element_sep"))).select(
+        "upload_seq", "seg_pos", _broken_rule().alias("reason"))
+    control = prior_control_numbers(annotated).select(
+        "upload_seq", F.col("target").alias("seg_pos"),
+        _wide("claims", "previous_payer_claim_control_no", F.col("control_no")).alias("reason"))
+    header = catalogue.select("upload_seq", F.lit(0).alias("seg_pos"), F.coalesce(*[
+        _wide("edi_files", c, F.col(c)) for c in WIDTHS["edi_files"]]).alias("reason"))
+    repeated = claim_rows(annotated).groupBy("upload_seq", "claim_number").agg(
+        F.count(F.lit(1)).alias("n"), F.max("seg_pos").alias("seg_pos")).where("n > 1").select(
+        "upload_seq", "seg_pos",
+        F.lit("duplicate key (edi_file_id, claim_number) in claims").alias("reason"))
+    found = by_row.unionByName(control).unionByName(header).unionByName(repeated)
+    return found.where("reason is not null")
 
 
 def rejected_files(found: DataFrame) -> DataFrame:
     """One row per rejected file with the first broken rule."""
-    return found.groupBy("upload_seq").agg(
-        F.min(F.struct(F.coalesce("seg_pos", F.lit(0)).alias("p"), "reason")).alias("first")
-    ).select("upload_seq", F.col("first.reason").alias("reason"))
+    return found.groupBy("upload_seq").agg(F.min(F.struct("seg_pos", "reason")).alias("first")
+                                           ).select("upload_seq", "first.reason")
