@@ -20,57 +20,65 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _ZERO = r"^[+-]?[0.]+([eE][+-]?[0-9]+)?$"
 
 
+# Any character but visible ASCII: a quick test that covers all white space.
+_UNUSUAL = "[^\\x21-\\x7e]"
+
+_PUNCTUATION = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
 def strip(c: Column) -> Column:
     """Drop white space of every kind, line ends included, from both ends."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    return F.when(c.rlike(f"^{_UNUSUAL}|{_UNUSUAL}$"), F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def split_on(c: Column, separator: Column) -> Column:
     """Split on a one-character separator held in a column.
 
-    A backslash before a character that is not alphanumeric is a literal, and the JVM splits on
-    that form without compiling a pattern per row.
+    A backslash before a punctuation character is a literal, and the JVM splits on that form
+    without compiling a pattern per row.
     """
-    pattern = F.when(separator.rlike(r"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]$"),
-                     F.concat(F.lit("\\"), separator)
-                     ).otherwise(F.concat(F.lit("\\Q"), separator, F.lit("\\E")))
+    pattern = F.when(separator.isin(_PUNCTUATION), F.concat(F.lit("\\"), separator)).otherwise(
+        F.concat(F.lit("\\Q"), separator, F.lit("\\E")))
     return F.split(c, pattern, -1)
 
 
+def elements_of(segment: Column, separator: Column) -> Column:
+    """Elements of a segment, each stripped; element 0 is the name."""
+    parts = split_on(segment, separator)
+    return F.when(segment.rlike(_UNUSUAL), F.transform(parts, strip)).otherwise(parts)
+
+
 def safe_element(elements: Column, i: int | Column, default: str | None = "") -> Column:
-    """Stripped element ``i``, or ``default`` when it is out of range or blank."""
-    index = F.lit(i) if isinstance(i, int) else i
-    found = strip(F.get(elements, index))
+    """Element ``i`` of ``elements_of``, or ``default`` when it is out of range or blank."""
+    found = F.get(elements, F.lit(i) if isinstance(i, int) else i)
     if default == "":
         return F.coalesce(found, F.lit(""))
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(default))
 
 
 def is_decimal(c: Column) -> Column:
-    """Whether the text is a plain or scientific decimal number; null counts as no."""
-    return F.coalesce(strip(c).rlike(_NUMBER), F.lit(False))
+    """Whether stripped text is a plain or scientific decimal number; null counts as no."""
+    return F.coalesce(c.rlike(_NUMBER), F.lit(False))
 
 
 def is_zero(c: Column) -> Column:
-    """Whether the text is a number equal to zero, before any rounding."""
-    return F.coalesce(strip(c).rlike(_ZERO) & is_decimal(c), F.lit(False))
+    """Whether stripped text is a number equal to zero, before any rounding."""
+    return F.coalesce(c.rlike(_ZERO), F.lit(False)) & is_decimal(c)
 
 
 def safe_decimal(c: Column, precision: int = 12, scale: int = 2) -> Column:
-    """Decimal value, rounded half up; null when the text is no number or does not fit."""
-    return F.when(is_decimal(c), strip(c).try_cast(f"decimal({precision},{scale})"))
+    """Decimal of stripped text, rounded half up; null when it is no number or does not fit."""
+    return F.when(is_decimal(c), c.try_cast(f"decimal({precision},{scale})"))
 
 
 def overflows(c: Column, precision: int = 12, scale: int = 2) -> Column:
     """A number in the text that the column type cannot hold."""
-    return is_decimal(c) & safe_decimal(c, precision, scale).isNull()
+    return is_decimal(c) & c.try_cast(f"decimal({precision},{scale})").isNull()
 
 
 def safe_date(c: Column) -> Column:
     """Date from exactly eight digits CCYYMMDD, else null."""
-    text = strip(c)
-    return F.when(text.rlike("^[0-9]{8}$") & ~text.startswith("0000"),
-                  F.try_to_date(text, "yyyyMMdd"))
+    return F.when(c.rlike("^[0-9]{8}$") & ~c.startswith("0000"), F.try_to_date(c, "yyyyMMdd"))
 
 
 def split_composite(c: Column, separator: Column) -> Column:
@@ -79,7 +87,7 @@ def split_composite(c: Column, separator: Column) -> Column:
 
 
 def segment_name(elements: Column) -> Column:
-    return strip(F.upper(F.get(elements, F.lit(0))))
+    return F.upper(F.get(elements, F.lit(0)))
 
 
 def claim_status_for(code: Column) -> Column:
@@ -112,7 +120,7 @@ def diagnosis_entries(elements: Column, component: Column) -> Column:
         return F.struct(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("diagnosis_type"),
                         F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("diagnosis_code"))
     composites = F.slice(elements, F.lit(2), F.greatest(F.size(elements) - 1, F.lit(0)))
-    entries = F.transform(F.transform(composites, strip), entry)
+    entries = F.transform(composites, entry)
     return F.filter(entries, lambda d: d["diagnosis_code"] != "")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitframe.contracts import PARSER_VERSION
-from remitframe.functions.edi import is_decimal, safe_element, split_composite, split_on
+from remitframe.functions.edi import is_decimal, safe_element, split_composite
 from remitframe.operators.claims import element, of_family
 
 
@@ -44,10 +44,9 @@ def raw_segments(annotated: DataFrame) -> DataFrame:
 
     ``claim_id`` is set for submissions only; a remittance row names its remittance instead.
     """
-    elements = split_on(F.col("raw_segment_text"), F.col("element_sep"))
     return annotated.select(
         "upload_seq", F.col("seg_pos").alias("segment_position"), "segment_name", "claim_id",
-        "remittance_claim_id", "raw_segment_text", _parse_error(elements).alias("parse_error"))
+        "remittance_claim_id", "raw_segment_text", _parse_error(F.col("elements")).alias("parse_error"))
 
 
 def parse_errors(archive: DataFrame) -> DataFrame:

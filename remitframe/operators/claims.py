@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from remitframe.functions.edi import (
     as_of, diagnosis_entries, entity_id, is_zero, safe_date, safe_decimal, safe_element,
-    split_composite, split_on,
+    split_composite,
 )
 
 
 def of_family(annotated: DataFrame, family: str) -> DataFrame:
-    """Segments of one family, with elements. Prunes the scan to that family's folder."""
-    return annotated.where(F.col("family") == family).withColumn(
-        "elements", split_on(F.col("raw_segment_text"), F.col("element_sep")))
+    """Segments of one family. Prunes the scan to that family's folder."""
+    return annotated.where(F.col("family") == family)
 
 
 def element(i: int):

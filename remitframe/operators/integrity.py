@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from remitframe.contracts import WIDTHS
 from remitframe.functions.edi import (
-    adjustment_entries, diagnosis_entries, is_zero, overflows, split_composite, split_on,
+    adjustment_entries, diagnosis_entries, is_zero, overflows, split_composite,
 )
 from remitframe.operators.claims import claim_rows, element, prior_control_numbers
 
@@ -78,9 +78,7 @@ def violations(annotated: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     One pass over the segments covers the row rules; the rest are keyed by claim or file.
     """
-    by_row = annotated.withColumn("elements", split_on(
-        F.col("raw_segment_text"), F.col("element_sep"))).select(
-        "upload_seq", "seg_pos", _broken_rule().alias("reason"))
+    by_row = annotated.select("upload_seq", "seg_pos", _broken_rule().alias("reason"))
     control = prior_control_numbers(annotated).select(
         "upload_seq", F.col("target").alias("seg_pos"),
         _wide("claims", "previous_payer_claim_control_no", F.col("control_no")).alias("reason"))

@@ -13,10 +13,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitframe.functions.edi import entity_id
+from remitframe.operators.segments import with_elements
 from remitframe.session import BROADCAST_ROWS, fits_broadcast
 
 _KEYS = ["upload_seq", "chunk"]
 
+_READ_ON = {
+    ("CLM",): ["l_payer", "l_member"],
+    ("SV1",): ["l_claim_number", "sv1_cum", "l_sv1_base"],
+    ("HI",): ["dx_cum", "l_dx_base"],
+    ("CLP",): ["l_remit_day"],
+    ("DTP",): ["l_owner", "l_owner_ln"],
+}
+
 
 def local_scan(marked: DataFrame) -> DataFrame:
     """Running state within each chunk. All windows share one exchange and one sort."""
@@ -39,14 +48,19 @@ def local_scan(marked: DataFrame) -> DataFrame:
         "l_claim_number": last(F.when(F.col("clm_ok"), F.col("own_number"))),
     })
     structural = F.col("clm_ok") | F.col("sv1_ok") | (F.col("segment_name") == "HI")
-    return numbered.withColumns({
+    state = numbered.withColumns({
         "l_claim_ln": last(F.when(F.col("clm_ok"), F.col("ln"))),
         "l_remit_ln": last(F.when(F.col("clp_ok"), F.col("ln"))),
         "l_owner_ln": last(F.when(structural, F.col("ln"))),
         "l_owner": last(F.when(structural, F.col("segment_name"))),
         "l_sv1_base": last(F.when(F.col("clm_ok"), F.col("sv1_cum"))),
         "l_dx_base": last(F.when(F.col("clm_ok"), F.col("dx_cum"))),
-    }).drop("idx", "block_seq", "elements", "payer_set", "member_set", "remit_day", "st_type",
+    })
+    # Keep a value only where it is read: on its own kind of segment and at the chunk's end.
+    for names, columns in _READ_ON.items():
+        used = F.col("is_last") | F.col("segment_name").isin(*names)
+        state = state.withColumns({c: F.when(used, F.col(c)) for c in columns})
+    return with_elements(state).drop("idx", "block_seq", "element_sep", "payer_set", "member_set", "remit_day", "st_type",
             "own_number")
 
 
@@ -104,7 +118,7 @@ def apply_carry(scanned: DataFrame, carry: DataFrame,
         return F.when(F.col("l_claim_ln").isNotNull(), F.col(cum) - F.col(base)).otherwise(
             F.col(carried) + F.col(cum)).cast("int")
     state = joined.select(
-        "upload_seq", "family", "segment_name", "raw_segment_text", "element_sep",
+        "upload_seq", "family", "segment_name", "raw_segment_text", "elements",
         "component_sep", "clm_ok", "sv1_ok", "clp_ok", "dx_count",
         F.coalesce("c_type", "chunk_type").alias("file_type"),
         (offset + F.col("ln")).cast("int").alias("seg_pos"),

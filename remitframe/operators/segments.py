@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitframe.functions.edi import (
-    diagnosis_entries, is_decimal, safe_date, safe_element, segment_name, split_composite,
-    split_on, strip,
+    diagnosis_entries, elements_of, is_decimal, safe_date, safe_element, segment_name,
+    split_composite, split_on, strip,
 )
 
 CHUNK_SEGMENTS = 200_000
@@ -33,8 +33,9 @@ def explode_segments(blocks: DataFrame, chunk_segments: int = CHUNK_SEGMENTS) ->
 
 
 def with_elements(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("elements", split_on(F.col("raw_segment_text"),
-                                                    F.col("element_sep")))
+    """Add ``elements`` to the segments that have a handler."""
+    return segments.withColumn("elements", F.when(F.col("family") != "OTHER", elements_of(
+        F.col("raw_segment_text"), F.col("element_sep"))))
 
 
 def mark_segments(segments: DataFrame) -> DataFrame:
@@ -50,7 +51,9 @@ def mark_segments(segments: DataFrame) -> DataFrame:
     member = F.nullif(safe_element(e, 9), F.lit(""))
     procedure = F.coalesce(F.get(split_composite(first, F.col("component_sep")), F.lit(1)),
                            F.lit(""))
-    return with_elements(segments).withColumn("segment_name", segment_name(e)).withColumns({
+    split = segments.withColumn("elements", elements_of(F.col("raw_segment_text"),
+                                                        F.col("element_sep")))
+    return split.withColumn("segment_name", segment_name(e)).withColumns({
         "clm_ok": (name == "CLM") & (first != "") & is_decimal(second),
         "sv1_ok": (name == "SV1") & (procedure != "") & is_decimal(second),
         "dx_count": F.when(name == "HI", F.size(diagnosis_entries(e, F.col("component_sep")))
@@ -64,4 +67,5 @@ def mark_segments(segments: DataFrame) -> DataFrame:
         "st_type": F.when((name == "ST") & first.isin("837", "835"),
                           F.concat(F.lit("edi_"), first)),
         "own_number": F.when(name.isin("CLM", "CLP"), first),
-    }).withColumn("family", F.when(name.isin(*FAMILIES), name).otherwise("OTHER"))
+        "family": F.when(name.isin(*FAMILIES), name).otherwise("OTHER"),
+    }).drop("elements")

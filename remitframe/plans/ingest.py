@@ -25,15 +25,14 @@ def annotate(source: Source, store: Store, batch: int,
     """Segments with owner, numbering and carried context.
 
     The chunk-local half is staged once, in a folder per segment family, because every table
-    reads it again and needs only its own families.
+    reads it again and needs only its own families. Elements are split again after the exchange
+    rather than sent through it, and stored, so that later filters need no splitting.
     """
     spark = store.spark
     # Family folders without a sort: a task keeps one open file for each of the few families.
     spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")
-    scanned = store.stage("segments", batch,
-                          local_scan(mark_segments(explode_segments(source.blocks,
-                                                                    chunk_segments))),
-                          family="family")
+    marked = mark_segments(explode_segments(source.blocks, chunk_segments))
+    scanned = store.stage("segments", batch, local_scan(marked), family="family")
     carry = store.stage("carry", batch, chunk_carry(scanned))
     return apply_carry(scanned, carry)
 
