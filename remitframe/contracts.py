@@ -65,7 +65,12 @@ _DDL = {
         errors_count long, success boolean""",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+TABLES = tuple(_DDL)
+
+
+def schema_of(table: str) -> StructType:
+    return StructType.fromDDL(_DDL[table])
+
 
 # Width in characters of every bounded string column.
 WIDTHS = {
@@ -91,5 +96,5 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     have = set(df.columns)
     return df.select(*[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in SCHEMAS[table].fields
+        for f in schema_of(table).fields
     ])

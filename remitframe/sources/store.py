@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitframe.contracts import SCHEMAS, conform
+from remitframe.contracts import conform, schema_of
 
 _COMMITS = "batch long, last_seq long, committed_at timestamp"
 
@@ -62,5 +62,5 @@ class Store:
         """All committed rows of a table, under its contract; empty before the first commit."""
         folders = [self.folder(table, b) for b in self.batches()]
         if not folders:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(*folders)
+            return self.spark.createDataFrame([], schema_of(table))
+        return self.spark.read.schema(schema_of(table)).parquet(*folders)
