@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from remitframe.operators import archive, claims, integrity, reconcile, remits
 from remitframe.operators.scan import apply_carry, chunk_carry, local_scan
 from remitframe.operators.segments import CHUNK_SEGMENTS, explode_segments, mark_segments
-from remitframe.session import BROADCAST_ROWS, fits_broadcast
+from remitframe.session import fits_broadcast
 from remitframe.sources.files import Source
 from remitframe.sources.store import Store
 
@@ -39,7 +39,8 @@ def annotate(source: Source, store: Store, batch: int,
 
 def ingest(source: Source, store: Store, batch: int | None = None,
            as_of_date: str | None = None, ingested_at: Column | None = None,
-           chunk_segments: int = CHUNK_SEGMENTS, keep_text: bool = True) -> int:
+           chunk_segments: int = CHUNK_SEGMENTS, keep_text: bool = True,
+           stream_batch: int | None = None) -> int:
     """Parse, check, reconcile and commit one batch; returns its number.
 
     Files rejected by the integrity rules leave no rows but a summary row. ``as_of_date`` stands
@@ -98,7 +99,7 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     store.write("ingest_errors", batch, _errors(store, batch, files, catalogue, rejected))
     store.write("ingest_summary", batch, _summary(store, batch, files, catalogue, rejected))
     last_seq = files.agg(F.max("upload_seq")).first()[0] or 0
-    store.commit(batch, last_seq)
+    store.commit(batch, last_seq, stream_batch)
     return batch
 
 

@@ -65,13 +65,6 @@ def with_delimiters(files: DataFrame, isa: Column | None = None) -> DataFrame:
                               F.lit(f" chars, need {ISA_LENGTH})")))})
 
 
-def listing(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
-    """Paths under ``path`` with size and time. The contents are not read."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-            .option("recursiveFileLookup", "true").load(path)
-            .select("path", "modificationTime", "length"))
-
-
 def upload_order(files: DataFrame, first_seq: int = 1) -> DataFrame:
     """Number files by (modificationTime, path), without bringing them to one task."""
     return with_ordinal(files, ["modificationTime", "path"], "upload_seq", first_seq)
@@ -92,12 +85,17 @@ def from_binary(files: DataFrame) -> Source:
 
 def read_edi(spark: SparkSession, path: str, first_seq: int = 1, glob: str = GLOB) -> Source:
     """Read whole EDI files, each at most 2 GB (the limit of a binary value)."""
-    seqs = upload_order(listing(spark, path, glob), first_seq).select("path", "upload_seq")
     content = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-               .option("recursiveFileLookup", "true").load(path).select("path", "content"))
-    # The number of files is unbounded, but this side holds only path and number; adaptive
-    # execution broadcasts it when its measured size is small.
-    return from_binary(content.join(seqs, "path"))
+               .option("recursiveFileLookup", "true").load(path))
+    return from_binary(numbered(content, first_seq))
+
+
+def numbered(content: DataFrame, first_seq: int) -> DataFrame:
+    """Whole-file rows with ``upload_seq``. Only paths and times are sorted, not the contents."""
+    seqs = upload_order(content.select("path", "modificationTime"), first_seq)
+    # This side holds only path and number; adaptive execution broadcasts it when its measured
+    # size is small.
+    return content.select("path", "content").join(seqs.select("path", "upload_seq"), "path")
 
 
 def read_edi_records(spark: SparkSession, path: str, terminator: str = "~",

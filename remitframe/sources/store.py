@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from remitframe.contracts import conform, schema_of
 
-_COMMITS = "batch long, last_seq long, committed_at timestamp"
+_COMMITS = "batch long, last_seq long, stream_batch long, committed_at timestamp"
 
 
 class Store:
@@ -52,10 +52,18 @@ class Store:
         (writer.partitionBy(family) if family else writer).parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
-    def commit(self, batch: int, last_seq: int) -> None:
+    def has_stream_batch(self, number: int) -> bool:
+        """Whether this micro-batch of the stream that feeds the store is already committed."""
+        commits = self._commits()
+        return commits is not None and not commits.where(
+            F.col("stream_batch") == number).isEmpty()
+
+    def commit(self, batch: int, last_seq: int, stream_batch: int | None = None) -> None:
         self.spark.range(1).select(
-            F.lit(batch).cast("long").alias("batch"), F.lit(last_seq).cast("long")
-            .alias("last_seq"), F.current_timestamp().alias("committed_at")
+            F.lit(batch).cast("long").alias("batch"),
+            F.lit(last_seq).cast("long").alias("last_seq"),
+            F.lit(stream_batch).cast("long").alias("stream_batch"),
+            F.current_timestamp().alias("committed_at")
         ).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
 
     def read(self, table: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from remitframe.operators.features import FeatureEngineer, FeatureModel, label_dictionary
 from remitframe.operators.quantile import exact_quantile
+from remitframe.operators.scoring import score_denials, train_denial_model
 from remitframe.plans import reads
 from remitframe.plans.dataset import build_dataset, dataset_stats
 from remitframe.plans.ingest import ingest
@@ -129,6 +130,13 @@ def charge_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.groupBy().agg(F.lit(value).cast("decimal(18,4)").alias("threshold"))
 
 
+def denial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every adjudicated claim scored by a model trained on those claims."""
+    features = star_model(spark, sf_dir).transform(
+        build_dataset(star_store(spark, sf_dir)), validate=False, keep=("claim_id", "denied"))
+    return score_denials(features, train_denial_model(features))
+
+
 def _read(table: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _no_raw(star_store(spark, sf_dir).read(table))
 
@@ -167,7 +175,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "label_dictionary": lambda s, d: label_dictionary(build_dataset(star_store(s, d))),
         "charge_threshold": charge_threshold,
         "features": lambda s, d: star_model(s, d).transform(
-            build_dataset(star_store(s, d)), keep_keys=True),
+            build_dataset(star_store(s, d)), keep=("claim_id",)),
         "feature_unseen": lambda s, d: star_model(s, d).transform(
-            build_dataset(star_store(s, d), adjudicated_only=False), keep_keys=True),
+            build_dataset(star_store(s, d), adjudicated_only=False), keep=("claim_id",)),
+        "denial_scores": denial_scores,
     }
