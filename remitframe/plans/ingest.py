@@ -28,9 +28,6 @@ def annotate(source: Source, store: Store, batch: int,
     reads it again and needs only its own families. Elements are split again after the exchange
     rather than sent through it, and stored, so that later filters need no splitting.
     """
-    spark = store.spark
-    # Family folders without a sort: a task keeps one open file for each of the few families.
-    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")
     marked = mark_segments(explode_segments(source.blocks, chunk_segments))
     scanned = store.stage("segments", batch, local_scan(marked), family="family")
     carry = store.stage("carry", batch, chunk_carry(scanned))
@@ -57,13 +54,10 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     small = fits_broadcast(rejected)
     any_rejected = not small or rejected.limit(1).count() > 0
 
-    def accepted(df: DataFrame) -> DataFrame:
-        if any_rejected:
-            side = rejected.select("upload_seq")
-            df = df.join(F.broadcast(side) if small else side, "upload_seq", "left_anti")
-        return df.withColumn("created_at", stamp)
-
-    good = accepted(segments).drop("created_at")
+    good = segments
+    if any_rejected:
+        side = rejected.select("upload_seq")
+        good = segments.join(F.broadcast(side) if small else side, "upload_seq", "left_anti")
     # Claims and payments feed the matching, so they are staged before it.
     own_claims = store.stage("claims", batch, claims.claims_837(good, as_of_date))
     payments = store.stage("payments", batch, remits.remittances(good, as_of_date))
@@ -75,21 +69,21 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     new = store.stage("mentions", batch, reconcile.first_mentions(own_claims, payments, known))
     mentions = new if known is None else new.unionByName(known)
     resolved = store.stage("resolved", batch, reconcile.resolve(payments, mentions))
-    raw = accepted(archive.raw_segments(segments))
     tables = {
-        "edi_files": accepted(catalogue).withColumn("updated_at", stamp),
-        "claims": own_claims.unionByName(
-            reconcile.placeholders(resolved, as_of_date), allowMissingColumns=True)
-        .withColumn("created_at", stamp),
-        "claim_lines": accepted(claims.claim_lines(good)),
-        "diagnoses": accepted(claims.diagnoses(good)),
-        "remittance_claims": resolved.withColumn("created_at", stamp),
-        "adjustments": accepted(remits.adjustments(good)),
-        "remark_codes": accepted(remits.remark_codes(good)),
-        "raw_segments": raw,
+        "edi_files": catalogue.join(rejected, "upload_seq", "left_anti"),
+        "claims": own_claims.unionByName(reconcile.placeholders(resolved, as_of_date),
+                                         allowMissingColumns=True),
+        "claim_lines": claims.claim_lines(good),
+        "diagnoses": claims.diagnoses(good),
+        "remittance_claims": resolved,
+        "adjustments": remits.adjustments(good),
+        "remark_codes": remits.remark_codes(good),
+        "raw_segments": archive.raw_segments(good),
         "first_mentions": new,
-        "status_updates": reconcile.status_updates(resolved).withColumn("updated_at", stamp),
+        "status_updates": reconcile.status_updates(resolved),
     }
+    tables = {t: df.withColumns({"created_at": stamp, "updated_at": stamp})
+              for t, df in tables.items()}
     if keep_text:
         tables["edi_text"] = source.blocks
     # Independent writes, submitted together so that the cluster stays busy.

@@ -18,15 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session, where every executor
     is this machine, may fall back on a temporary folder.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+    if configured and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="remitframe-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="remitframe-"))
+    return configured or sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from remitframe.functions.edi import strip
 from remitframe.operators.ordinal import with_ordinal
+from remitframe.session import checkpointed
 
 GLOB = "*.{edi,txt,x12}"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ISA_LENGTH = 106
+LARGE_BYTES = 64 * 1024 * 1024
 DELIMITERS = ("element_sep", "component_sep", "terminator")
 
 
@@ -83,13 +85,6 @@ def from_binary(files: DataFrame) -> Source:
             *DELIMITERS))
 
 
-def read_edi(spark: SparkSession, path: str, first_seq: int = 1, glob: str = GLOB) -> Source:
-    """Read whole EDI files, each at most 2 GB (the limit of a binary value)."""
-    content = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-               .option("recursiveFileLookup", "true").load(path))
-    return from_binary(numbered(content, first_seq))
-
-
 def numbered(content: DataFrame, first_seq: int) -> DataFrame:
     """Whole-file rows with ``upload_seq``. Only paths and times are sorted, not the contents."""
     seqs = upload_order(content.select("path", "modificationTime"), first_seq)
@@ -98,38 +93,60 @@ def numbered(content: DataFrame, first_seq: int) -> DataFrame:
     return content.select("path", "content").join(seqs.select("path", "upload_seq"), "path")
 
 
-def read_edi_records(spark: SparkSession, path: str, terminator: str = "~",
-                     first_seq: int = 1, glob: str = GLOB) -> Source:
-    """Read EDI files of any size whose segment terminator is known.
+def _reader(spark: SparkSession, glob: str):
+    return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+
 
-    Files are split into byte ranges like any text source; a byte range is a chunk. Files whose
-    ISA segment does not end at ``terminator`` get a file error and should go through
-    ``read_edi``. The text has to be UTF-8.
+def read_edi(spark: SparkSession, path: str, first_seq: int = 1, glob: str = GLOB,
+             large_bytes: int = LARGE_BYTES, terminators: tuple[str, ...] = ("~",)) -> Source:
+    """Read EDI files of any size.
+
+    A file up to ``large_bytes`` is one row, with any delimiters and either charset. A larger one
+    is split into byte ranges, so it is never in one task; it has to be UTF-8 and end its
+    segments with one of ``terminators``, or it gets a file error. Name only terminators that
+    are in use: each costs a pass over the large files.
     """
-    records = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-               .option("lineSep", terminator).text(path)
-               .select(F.col("_metadata.file_path").alias("path"),
-                       F.col("_metadata.file_block_start").alias("chunk"),
-                       F.monotonically_increasing_id().alias("block_seq"),
-                       F.col("value").alias("text")))
-    seqs = upload_order(spark.read.format("binaryFile").option("pathGlobFilter", glob)
-                        .option("recursiveFileLookup", "true").load(path)
-                        .select(F.col("_metadata.file_path").alias("path"), "modificationTime"),
-                        first_seq)
-    heads = (records.where(F.contains("text", F.lit("ISA"))).groupBy("path")
-             .agg(F.min_by(F.substring(F.col("text"), F.locate("ISA", F.col("text")),
-                                       F.lit(ISA_LENGTH)),
-                           F.struct("chunk", "block_seq")).alias("head")))
-    isa = F.when(F.length("head") == ISA_LENGTH - 1, F.concat("head", F.lit(terminator)))
-    files = with_delimiters(seqs.join(heads, "path", "left"), isa).withColumn(
-        "file_error", F.when(
-            F.col("head").isNotNull() & ((F.length("head") != ISA_LENGTH - 1)
-                                         | (F.col("terminator") != terminator)),
-            F.lit(f"ISA segment does not end at {terminator!r}")).otherwise(F.col("file_error")))
-    blocks = records.join(files.where("file_error is null").select(
-        "path", "upload_seq", *DELIMITERS), "path")
-    return Source(
-        files.select("upload_seq", file_name_of(F.col("path")).alias("file_name"), *DELIMITERS,
-                     "file_error"),
-        blocks.where(strip(F.col("text")) != "").select(
-            "upload_seq", "chunk", "block_seq", "text", *DELIMITERS))
+    listed = _reader(spark, glob).format("binaryFile").load(path)
+    seqs = upload_order(listed.select(F.col("_metadata.file_path").alias("path"),
+                                      "modificationTime", "length"), first_seq)
+    # The length filter is applied to the listing: contents of large files are not read.
+    content = listed.where(F.col("length") <= large_bytes).select(
+        F.col("_metadata.file_path").alias("path"), "content")
+    small = from_binary(content.join(seqs.select("path", "upload_seq"), "path"))
+    large = seqs.where(F.col("length") > large_bytes)
+    if large.isEmpty():
+        return small
+    rest = _read_records(spark, path, glob, large, large_bytes, terminators)
+    return Source(small.files.unionByName(rest.files), small.blocks.unionByName(rest.blocks))
+
+
+def _read_records(spark: SparkSession, path: str, glob: str, large: DataFrame,
+                  large_bytes: int, terminators: tuple[str, ...]) -> Source:
+    """Large files as text records that end at a terminator; a byte range is a chunk."""
+    found, blocks = None, None
+    for t in terminators:
+        records = (_reader(spark, glob).option("lineSep", t).text(path)
+                   .where(F.col("_metadata.file_size") > large_bytes)
+                   .select(F.col("_metadata.file_path").alias("path"),
+                           F.col("_metadata.file_block_start").alias("chunk"),
+                           F.monotonically_increasing_id().alias("block_seq"),
+                           F.col("value").alias("text")))
+        # The ISA segment must be complete when the record ends, or this is not its terminator.
+        head = F.substring(F.col("text"), F.locate("ISA", F.col("text")), F.lit(ISA_LENGTH))
+        heads = (records.where(F.contains("text", F.lit("ISA"))).groupBy("path")
+                 .agg(F.min_by(head, F.struct("chunk", "block_seq")).alias("head"))
+                 .where(F.length("head") == ISA_LENGTH - 1))
+        files = with_delimiters(large.join(heads, "path"), F.concat("head", F.lit(t)))
+        found = files if found is None else found.unionByName(files)
+        # A file that is split into very many records sits on the left, where adaptive
+        # execution can divide it.
+        mine = records.where(strip(F.col("text")) != "").join(
+            files.select("path", "upload_seq", *DELIMITERS), "path").drop("path")
+        blocks = mine if blocks is None else blocks.unionByName(mine)
+    found = checkpointed(found)
+    lost = large.join(found.select("path"), "path", "left_anti").withColumn(
+        "file_error", F.lit(f"no ISA segment ends at one of {list(terminators)}"))
+    files = found.unionByName(lost, allowMissingColumns=True)
+    return Source(files.select("upload_seq", file_name_of(F.col("path")).alias("file_name"),
+                               *DELIMITERS, "file_error"),
+                  blocks.select("upload_seq", "chunk", "block_seq", "text", *DELIMITERS))

@@ -48,8 +48,17 @@ class Store:
     def stage(self, name: str, batch: int, df: DataFrame, family: str | None = None) -> DataFrame:
         """Write an intermediate frame of a batch and read it back, which cuts its lineage."""
         folder = self.folder(f"staging/{name}", batch)
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(family) if family else writer).parquet(folder)
+        if family is None:
+            df.write.mode("overwrite").parquet(folder)
+        else:
+            # Without a sort: a task keeps one open file for each of the few families.
+            writers = "spark.sql.maxConcurrentOutputFileWriters"
+            before = self.spark.conf.get(writers)
+            self.spark.conf.set(writers, "16")
+            try:
+                df.write.mode("overwrite").partitionBy(family).parquet(folder)
+            finally:
+                self.spark.conf.set(writers, before)
         return self.spark.read.schema(df.schema).parquet(folder)
 
     def has_stream_batch(self, number: int) -> bool:

@@ -10,7 +10,7 @@ import pytest
 from remitframe.contracts import TABLES
 from remitframe.plans import reads
 from remitframe.plans.ingest import ingest
-from remitframe.sources.files import read_edi, read_edi_records
+from remitframe.sources.files import read_edi
 from remitframe.sources.store import Store
 from remitframe.streaming.incremental import stream_ingest
 from tests.edi_texts import AS_OF, FILES, new_folder, write_files
@@ -254,7 +254,7 @@ def test_stream_equals_batch(spark):
         assert table_rows(stream, table) == table_rows(batch, table), table
 
 
-def test_records_source_equals_whole_files(spark):
+def test_large_files_equal_whole_files(spark):
     """Large files are read in byte ranges; here every range is a few dozen bytes."""
     names = ["sample837.edi", "sample835.edi", "otherseps.x12", "badclm.edi", "noisa.txt"]
     folder = write_files(names)
@@ -263,14 +263,17 @@ def test_records_source_equals_whole_files(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
     spark.conf.set("spark.sql.files.openCostInBytes", 0)
     try:
-        source = read_edi_records(spark, folder)
+        source = read_edi(spark, folder, large_bytes=300, terminators=("~", "\n"))
         assert source.blocks.select("chunk").distinct().count() > 5
         ingest(source, split, as_of_date=AS_OF)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    errors = {r.upload_seq: r.error for r in split.read("ingest_errors").collect()}
-    assert errors[3] == "ISA segment does not end at '~'"
-    for table in ("claims", "claim_lines", "remittance_claims", "adjustments", "raw_segments"):
-        mine = [r for r in table_rows(whole, table) if "upload_seq=3" not in r]
-        assert table_rows(split, table) == mine, table
+    for table in SAME:
+        assert table_rows(split, table) == table_rows(whole, table), table
+
+
+def test_large_file_with_unknown_terminator(spark):
+    folder = write_files(["sample837.edi", "sample835.edi"])
+    files = read_edi(spark, folder, large_bytes=10, terminators=("|",)).files.collect()
+    assert {f.file_error for f in files} == {"no ISA segment ends at one of ['|']"}
