@@ -9,7 +9,7 @@ from remitframe.contracts import WIDTHS
 from remitframe.functions.edi import (
     adjustment_entries, diagnosis_entries, is_zero, overflows, split_composite,
 )
-from remitframe.operators.claims import claim_rows, element, prior_control_numbers
+from remitframe.operators.claims import claim_rows, element, of_family, prior_control_numbers
 
 
 def _wide(table: str, column: str, text: Column) -> Column:
@@ -21,10 +21,20 @@ def _big(what: str, text: Column, precision: int = 12) -> Column:
     return F.when(overflows(text, precision, 2), F.lit(f"numeric overflow in {what}"))
 
 
-def _broken_rule() -> Column:
-    """First rule that the row made from this segment would break, or null."""
+def with_row_rules(segments: DataFrame) -> DataFrame:
+    """Add the rule a segment breaks, found while its elements are at hand.
+
+    ``raw_rule`` holds for the segment as such, ``row_rule`` for the row made from it, if one is
+    made. Both are almost always null, so a later filter on them skips nearly all stored data.
+    """
+    raw = F.coalesce(_wide("raw_segments", "segment_name", F.col("segment_name")),
+                     F.when(F.contains(F.col("raw_segment_text"), F.lit("\0")),
+                            F.lit("text holds a NUL character")))
+    return segments.withColumns({"raw_rule": raw, "row_rule": _row_rule()})
+
+
+def _row_rule() -> Column:
     name = F.col("segment_name")
-    on_remit = F.col("remittance_claim_id").isNotNull()
     parts = split_composite(element(5), F.col("component_sep"))
     service = split_composite(element(1), F.col("component_sep"))
     dx = diagnosis_entries(F.col("elements"), F.col("component_sep"))
@@ -36,8 +46,6 @@ def _broken_rule() -> Column:
                       F.lit(f"value too long for {table}.{column}({width})"))
     claim = F.coalesce(
         _wide("claims", "claim_number", element(1)),
-        _wide("claims", "payer_name", F.col("payer_name")),
-        _wide("claims", "patient_member_id", F.col("patient_member_id")),
         _wide("claims", "facility_type_code", F.get(parts, F.lit(0))),
         _wide("claims", "frequency_code", F.get(parts, F.lit(2))),
         _big("claims.total_charge_amount", element(2)))
@@ -62,23 +70,25 @@ def _broken_rule() -> Column:
     remark = F.coalesce(F.nullif(element(2), F.lit("")), element(1))
     diagnosis = F.coalesce(any_wide(dx, "diagnoses", "diagnosis_code", "diagnosis_code"),
                            any_wide(dx, "diagnoses", "diagnosis_type", "diagnosis_type"))
-    return F.coalesce(
-        _wide("raw_segments", "segment_name", name),
-        F.when(F.contains(F.col("raw_segment_text"), F.lit("\0")),
-               F.lit("text holds a NUL character")),
-        F.when(F.col("clm_ok"), claim).when(F.col("sv1_ok"), line)
-        .when((name == "HI") & F.col("claim_id").isNotNull(), diagnosis)
-        .when(F.col("clp_ok"), payment)
-        .when((name == "CAS") & on_remit & (element(1) != ""), adjustment)
-        .when((name == "LQ") & on_remit, _wide("remark_codes", "remark_code", remark)))
+    return (F.when(F.col("clm_ok"), claim).when(F.col("sv1_ok"), line)
+            .when(name == "HI", diagnosis).when(F.col("clp_ok"), payment)
+            .when((name == "CAS") & (element(1) != ""), adjustment)
+            .when(name == "LQ", _wide("remark_codes", "remark_code", remark)))
 
 
 def violations(annotated: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Every broken rule: ``upload_seq, seg_pos, reason``.
-
-    One pass over the segments covers the row rules; the rest are keyed by claim or file.
-    """
-    by_row = annotated.select("upload_seq", "seg_pos", _broken_rule().alias("reason"))
+    """Every broken rule: ``upload_seq, seg_pos, reason``."""
+    name = F.col("segment_name")
+    makes_row = (F.col("clm_ok") | F.col("sv1_ok") | F.col("clp_ok")
+                 | ((name == "HI") & F.col("claim_id").isNotNull())
+                 | (name.isin("CAS", "LQ") & F.col("remittance_claim_id").isNotNull()))
+    by_row = annotated.where("raw_rule is not null or row_rule is not null").select(
+        "upload_seq", "seg_pos",
+        F.coalesce("raw_rule", F.when(makes_row, F.col("row_rule"))).alias("reason"))
+    carried = of_family(annotated, "CLM").where("clm_ok").select(
+        "upload_seq", "seg_pos", F.coalesce(
+            _wide("claims", "payer_name", F.col("payer_name")),
+            _wide("claims", "patient_member_id", F.col("patient_member_id"))).alias("reason"))
     control = prior_control_numbers(annotated).select(
         "upload_seq", F.col("target").alias("seg_pos"),
         _wide("claims", "previous_payer_claim_control_no", F.col("control_no")).alias("reason"))
@@ -88,7 +98,7 @@ def violations(annotated: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max("seg_pos").alias("seg_pos")).where("n > 1").select(
         "upload_seq", "seg_pos",
         F.lit("duplicate key (edi_file_id, claim_number) in claims").alias("reason"))
-    found = by_row.unionByName(control).unionByName(header).unionByName(repeated)
+    found = by_row.unionByName(carried).unionByName(control).unionByName(header).unionByName(repeated)
     return found.where("reason is not null")
 
 

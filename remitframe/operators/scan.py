@@ -60,8 +60,8 @@ def local_scan(marked: DataFrame) -> DataFrame:
     for names, columns in _READ_ON.items():
         used = F.col("is_last") | F.col("segment_name").isin(*names)
         state = state.withColumns({c: F.when(used, F.col(c)) for c in columns})
-    return with_elements(state).drop("idx", "block_seq", "element_sep", "payer_set", "member_set", "remit_day", "st_type",
-            "own_number")
+    return with_elements(state).drop("idx", "block_seq", "element_sep", "payer_set",
+                                     "member_set", "remit_day", "st_type", "own_number")
 
 
 def chunk_carry(scanned: DataFrame) -> DataFrame:
@@ -120,6 +120,7 @@ def apply_carry(scanned: DataFrame, carry: DataFrame,
     state = joined.select(
         "upload_seq", "family", "segment_name", "raw_segment_text", "elements",
         "component_sep", "clm_ok", "sv1_ok", "clp_ok", "dx_count",
+        "raw_rule", "row_rule",
         F.coalesce("c_type", "chunk_type").alias("file_type"),
         (offset + F.col("ln")).cast("int").alias("seg_pos"),
         F.coalesce("l_payer", "c_payer").alias("payer_name"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,8 @@ def annotate(source: Source, store: Store, batch: int,
     rather than sent through it, and stored, so that later filters need no splitting.
     """
     marked = mark_segments(explode_segments(source.blocks, chunk_segments))
-    scanned = store.stage("segments", batch, local_scan(marked), family="family")
+    scanned = store.stage("segments", batch, integrity.with_row_rules(local_scan(marked)),
+                          family="family")
     carry = store.stage("carry", batch, chunk_carry(scanned))
     return apply_carry(scanned, carry)
 
@@ -45,7 +47,9 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     """
     if batch is None:
         batch = max(store.batches(), default=-1) + 1
-    stamp = F.current_timestamp() if ingested_at is None else ingested_at
+    # One time for the whole batch: a function of the clock would differ between the writes.
+    stamp = F.timestamp_micros(F.lit(time.time_ns() // 1000)) if ingested_at is None \
+        else ingested_at
     files = store.stage("files", batch, source.files)
     segments = annotate(Source(files, source.blocks), store, batch, chunk_segments)
     catalogue = store.stage("catalogue", batch, archive.edi_files(files, segments))
@@ -53,33 +57,33 @@ def ingest(source: Source, store: Store, batch: int | None = None,
         integrity.violations(segments, catalogue)))
     small = fits_broadcast(rejected)
     any_rejected = not small or rejected.limit(1).count() > 0
-
     good = segments
     if any_rejected:
         side = rejected.select("upload_seq")
         good = segments.join(F.broadcast(side) if small else side, "upload_seq", "left_anti")
-    # Claims and payments feed the matching, so they are staged before it.
-    own_claims = store.stage("claims", batch, claims.claims_837(good, as_of_date))
+    # Claims and payments feed the matching, so they are stored before it.
+    own_claims = store.write("claims", batch, claims.claims_837(good, as_of_date)
+                             .withColumn("created_at", stamp))
     payments = store.stage("payments", batch, remits.remittances(good, as_of_date))
     stored = store.read("first_mentions") if store.batches() else None
     known = None
     if stored is not None:
         known = store.stage("known", batch,
                             reconcile.known_numbers(stored, own_claims, payments))
-    new = store.stage("mentions", batch, reconcile.first_mentions(own_claims, payments, known))
+    new = store.write("first_mentions", batch,
+                      reconcile.first_mentions(own_claims, payments, known))
     mentions = new if known is None else new.unionByName(known)
-    resolved = store.stage("resolved", batch, reconcile.resolve(payments, mentions))
+    resolved = store.write("remittance_claims", batch, reconcile.resolve(payments, mentions)
+                           .withColumn("created_at", stamp))
+    store.append("claims", batch, reconcile.placeholders(resolved, as_of_date)
+                 .withColumn("created_at", stamp))
     tables = {
         "edi_files": catalogue.join(rejected, "upload_seq", "left_anti"),
-        "claims": own_claims.unionByName(reconcile.placeholders(resolved, as_of_date),
-                                         allowMissingColumns=True),
         "claim_lines": claims.claim_lines(good),
         "diagnoses": claims.diagnoses(good),
-        "remittance_claims": resolved,
         "adjustments": remits.adjustments(good),
         "remark_codes": remits.remark_codes(good),
         "raw_segments": archive.raw_segments(good),
-        "first_mentions": new,
         "status_updates": reconcile.status_updates(resolved),
     }
     tables = {t: df.withColumns({"created_at": stamp, "updated_at": stamp})
@@ -97,17 +101,13 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     return batch
 
 
-def _written(store: Store, table: str, batch: int) -> DataFrame:
-    return store.spark.read.parquet(store.folder(table, batch))
-
-
 def _errors(store: Store, batch: int, files: DataFrame, catalogue: DataFrame,
             rejected: DataFrame) -> DataFrame:
     """All error texts of the batch, one row each. A rejected file reports only its rejection."""
     whole_file = archive.file_errors(files, catalogue).select("upload_seq", "error").unionByName(
         rejected.select("upload_seq", F.concat(F.lit("DB save failed: "), "reason")
                         .alias("error")))
-    return archive.parse_errors(_written(store, "raw_segments", batch)).unionByName(
+    return archive.parse_errors(store.written("raw_segments", batch)).unionByName(
         whole_file.select("upload_seq", F.lit(None).cast("int").alias("segment_position"),
                           "error"))
 
@@ -118,7 +118,7 @@ def _summary(store: Store, batch: int, files: DataFrame, catalogue: DataFrame,
     counted = {**_COUNTED, "ingest_errors": "errors_count"}
     counts = None
     for table, name in counted.items():
-        one = _written(store, table, batch).select(
+        one = store.written(table, batch).select(
             "upload_seq", *[F.lit(1 if n == name else 0).alias(n) for n in counted.values()])
         counts = one if counts is None else counts.unionByName(one)
     totals = counts.groupBy("upload_seq").agg(

@@ -42,8 +42,18 @@ class Store:
         commits = self._commits()
         return 0 if commits is None else (commits.agg(F.max("last_seq")).first()[0] or 0)
 
-    def write(self, table: str, batch: int, df: DataFrame) -> None:
+    def write(self, table: str, batch: int, df: DataFrame) -> DataFrame:
+        """Write the rows a batch adds to a table and read them back."""
         conform(df, table).write.mode("overwrite").parquet(self.folder(table, batch))
+        return self.written(table, batch)
+
+    def append(self, table: str, batch: int, df: DataFrame) -> None:
+        """Add rows to what ``write`` wrote in the same run of the batch."""
+        conform(df, table).write.mode("append").parquet(self.folder(table, batch))
+
+    def written(self, table: str, batch: int) -> DataFrame:
+        """Rows of one batch, committed or not."""
+        return self.spark.read.schema(schema_of(table)).parquet(self.folder(table, batch))
 
     def stage(self, name: str, batch: int, df: DataFrame, family: str | None = None) -> DataFrame:
         """Write an intermediate frame of a batch and read it back, which cuts its lineage."""

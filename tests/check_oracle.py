@@ -50,7 +50,7 @@ if __name__ == "__main__":
     spark, sf_dir = make_session(), sys.argv[1]
     con, sql = connect(sf_dir), e.oracle_sql()
     for name, query in e.queries().items():
-        if len(sys.argv) > 2 and name not in sys.argv[2:]:
+        if name not in sql or (len(sys.argv) > 2 and name not in sys.argv[2:]):
             continue
         t = time.time()
         try:
