@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitframe.operators.reconcile import with_current_status
-from remitframe.session import checked_join
+from remitframe.session import HOT_ROWS, checked_join, split_join
 from remitframe.sources.store import Store
 
 _RAW = ("raw_claim_segment", "raw_sv1_segment", "raw_hi_segment", "raw_clp_segment",
@@ -112,11 +112,12 @@ def claim_tree(store: Store) -> DataFrame:
     return out
 
 
-def denials(store: Store, claim_id: int | None = None) -> DataFrame:
-    """Denied claims with the adjustments and remarks of their payments, one row per detail.
+def denials(store: Store, claim_id: int | None = None,
+            hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Denied claims with their payments, adjustments and remarks, one row per detail.
 
-    Adjustments and remarks are stacked, not paired with each other. A payment without either
-    still has a row.
+    Details are stacked, not paired with each other. ``code`` and ``amount`` are the status code
+    and paid amount of a payment, the reason and amount of an adjustment, or a remark code.
     """
     claims, updates = store.read("claims"), store.read("status_updates")
     remits = store.read("remittance_claims")
@@ -125,18 +126,23 @@ def denials(store: Store, claim_id: int | None = None) -> DataFrame:
                                    for d in (claims, updates, remits)]
     denied = with_current_status(claims, updates).where("claim_status = 'denied'").select(
         "claim_id", "claim_number", "payer_name", "total_charge_amount")
-    # Claims have one row per id, so a claim with very many payments is skewed on the left only.
-    payments = remits.select("claim_id", "remittance_claim_id", "claim_status_code").join(
-        denied, "claim_id")
-    details = store.read("adjustments").select(
+    payments = split_join(remits.select("claim_id", "remittance_claim_id"), denied, "claim_id",
+                          "remittance_claim_id", hot_rows)
+    details = remits.select(
+        "remittance_claim_id", F.lit("payment").alias("detail_type"),
+        F.lit(None).cast("string").alias("group_code"),
+        F.col("claim_status_code").alias("code"), F.col("paid_amount").alias("amount")
+    ).unionByName(store.read("adjustments").select(
         "remittance_claim_id", F.lit("adjustment").alias("detail_type"),
         F.col("adjustment_group_code").alias("group_code"),
         F.col("adjustment_reason_code").alias("code"),
-        F.col("adjustment_amount").alias("amount")).unionByName(
-        store.read("remark_codes").select(
-            "remittance_claim_id", F.lit("remark").alias("detail_type"),
-            F.col("remark_code").alias("code")), allowMissingColumns=True)
-    return payments.join(details, "remittance_claim_id", "left")
+        F.col("adjustment_amount").alias("amount"))
+    ).unionByName(store.read("remark_codes").select(
+        "remittance_claim_id", F.lit("remark").alias("detail_type"),
+        F.col("remark_code").alias("code")), allowMissingColumns=True)
+    # Payments have one row per id, so only a payment with very many details is hot, on the
+    # left, where adaptive execution can divide it.
+    return details.join(payments, "remittance_claim_id")
 
 
 def with_code_descriptions(df: DataFrame, codes: DataFrame, code_type: str, code: str,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Largest side, in rows, that may be sent to every executor. At the widest row joined this way
 # (a few hundred bytes) this is well under Spark's own 8 GB broadcast limit.
 BROADCAST_ROWS = 1_000_000
+# A key with more rows than this is spread over several tasks in ``split_join``.
+HOT_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +52,24 @@ def checked_join(big: DataFrame, small: DataFrame, on, how: str,
     if fits_broadcast(small, limit):
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, spread: str,
+               hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join in which a hot key of ``left`` is divided by the values of ``spread``.
+
+    For joins that adaptive execution cannot divide, because ``right`` reaches them without an
+    exchange of its own. ``right`` has one row per key. The rows of a hot key get one of several
+    salts, and its single right row is repeated once per salt, so the result is the same. There
+    are at most (rows of ``left``) / ``hot_rows`` hot keys.
+    """
+    hot = checkpointed(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > hot_rows).select(key, F.ceil(F.col("_n") / hot_rows).alias("_parts")))
+    if hot.isEmpty():
+        return left.join(right, key)
+    salted = checked_join(left, hot, key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    repeated = checked_join(right, hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"),
+                                      F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")

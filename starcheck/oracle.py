@@ -351,13 +351,14 @@ FROM claims c WHERE c.claim_id = (
         _TREE.format("'remark'", "remittance_claim_id", "remark_id", "remark_code", "NULL",
                      "NULL", "NULL", "remarks JOIN remits USING (remittance_claim_id)")]),
     "denials": """
-SELECT r.remittance_claim_id, r.claim_id, r.claim_status_code, c.claim_number, c.payer_name,
+SELECT r.remittance_claim_id, r.claim_id, c.claim_number, c.payer_name,
   c.total_charge_amount, d.detail_type, d.group_code, d.code, d.amount
-FROM claims c JOIN remits r USING (claim_id) LEFT JOIN (
+FROM claims c JOIN remits r USING (claim_id) JOIN (
   SELECT remittance_claim_id, 'adjustment' AS detail_type, adjustment_group_code AS group_code,
     adjustment_reason_code AS code, adjustment_amount AS amount FROM adj
-  UNION ALL SELECT remittance_claim_id, 'remark', NULL, remark_code, NULL FROM remarks) d
-  USING (remittance_claim_id)
+  UNION ALL SELECT remittance_claim_id, 'remark', NULL, remark_code, NULL FROM remarks
+  UNION ALL SELECT remittance_claim_id, 'payment', NULL, claim_status_code, paid_amount
+  FROM remits) d USING (remittance_claim_id)
 WHERE c.claim_status = 'denied'""",
     "code_lookup": """
 SELECT l.place_of_service, n.n_name AS description, count(*) AS lines,

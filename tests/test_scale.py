@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from remitframe.operators import reconcile
-from remitframe.session import checked_join
+from remitframe.session import checked_join, split_join
 from tests.edi_texts import new_folder
 
 
@@ -66,3 +66,14 @@ def test_broadcast_only_when_small(spark):
         assert "BroadcastHashJoin" in final_plan(near)
         assert "SortMergeJoin" in final_plan(far)
         assert sorted(near.collect()) == sorted(far.collect())
+
+
+def test_hot_key_is_salted(spark):
+    """A key with a third of the rows: the same rows come out, from several salts."""
+    left = spark.range(3000).select(
+        "id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 100).alias("k"))
+    right = left.select("k").distinct().where("k <> 7").withColumn("v", F.col("k") * 10)
+    plain = sorted(map(str, left.join(right, "k").collect()))
+    salted = split_join(left, right, "k", "id", hot_rows=50)
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, salted.collect())) == plain
