@@ -15,6 +15,7 @@ from remitframe.plans import reads
 from remitframe.plans.dataset import build_dataset, dataset_stats
 from remitframe.plans.ingest import ingest
 from remitframe.session import shared_dir
+from remitframe.sources.files import Source
 from remitframe.sources.starfeed import AS_OF, code_masters, star_source
 from remitframe.sources.store import Store
 
@@ -26,21 +27,27 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return spark.sparkContext.applicationId, sf_dir.rstrip("/")
 
 
-def build_store(spark: SparkSession, sf_dir: str, name: str) -> Store:
-    """Render the tables as EDI text, ingest all of it, and return the store."""
+def render(spark: SparkSession, sf_dir: str) -> Source:
+    """The tables as EDI text, laid out and checkpointed."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return star_source(spark, sf_dir)
+
+
+def build_store(spark: SparkSession, sf_dir: str, name: str,
+                source: Source | None = None) -> Store:
+    """Ingest the EDI text of all tables and return the store."""
     store = Store(spark, f"{shared_dir(spark)}/{name}")
-    batch = ingest(star_source(spark, sf_dir), store, as_of_date=AS_OF, keep_text=False)
+    batch = ingest(source or render(spark, sf_dir), store, as_of_date=AS_OF, keep_text=False)
     store.write("code_masters", batch, code_masters(spark, sf_dir))
     return store
 
 
-def star_store(spark: SparkSession, sf_dir: str) -> Store:
+def star_store(spark: SparkSession, sf_dir: str, source: Source | None = None) -> Store:
     """The ingested store for a data folder: built by the first query of a session."""
     key = _key(spark, sf_dir)
     if key not in _stores:
         digest = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
-        _stores[key] = build_store(spark, sf_dir, f"star-{digest}")
+        _stores[key] = build_store(spark, sf_dir, f"star-{digest}", source)
     return _stores[key]
 
 

@@ -20,6 +20,7 @@ def text(kind, *segments, e="*", c=":", t="~", head=None):
         s.replace("*", e).replace(":", c) for s in body) + t
 
 
+# The two sample interchanges whose results are known.
 SAMPLE_837 = isa() + "~".join([
     "GS*HC*SENDER*RECEIVER*20230101*1200*1*X*005010X222A1", "ST*837*0001*005010X222A1",
     "BHT*0019*00*BATCH001*20230101*1200*CH",
