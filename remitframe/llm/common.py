@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from remitframe.session import shared_dir
 
 # The white space of the contracts: a blank and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
+SPACES = " \t\n\v\f\r"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -41,3 +44,8 @@ def text_of(column: str | Column) -> Column:
 def rows_per_task(spark: SparkSession) -> int:
     """Number of shuffle tasks the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def send_by_value(module: str) -> None:
+    """Tasks get the functions of this module with their code: it need not be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

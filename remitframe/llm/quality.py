@@ -4,10 +4,11 @@ Two histograms are made of each whole text: how its code points spread over char
 how its words spread over the common words of all languages (plus one bin for all others). Each is
 compared with the reference of the document's language, which is the sum of the histograms of all
 documents of that language that pass the base rules, by the Jensen-Shannon distance (base 2, between
-0 and 1). Shorter texts than ``min_words`` have histograms too coarse to judge and are exempt.
+0 and 1). Shorter texts than ``min_judged_words`` have histograms too coarse to judge and are exempt.
 
 Everything is a column expression. Windows of eight words are compared inside their row, by sorting,
-so a long or very repetitive text costs n log n. They are compared by 64-bit hashes.
+so a long or very repetitive text costs n log n. They are compared by 64-bit hashes. Nothing that a
+lambda refers to is computed inside it: it would be computed again for each element.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a
 language of its own; repeated rows are judged alike; an empty table gives an empty result. Other
@@ -28,29 +29,31 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 # Texts with fewer words are not compared with a reference.
 MIN_JUDGED_WORDS = 40
-MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.45
+MAX_CLASS_DISTANCE = 0.28
+# The word histogram of a short text is coarse: the limit is this plus the second over the square
+# root of the number of words.
+MAX_WORD_DISTANCE = 0.2
+SHORT_TEXT_ALLOWANCE = 1.2
 
 # Common words of the languages that are told apart.
 COMMON_WORDS = (
-    "the", "of", "and", "to", "in", "that", "it", "is", "for", "with", "on", "this",
-    "der", "die", "und", "das", "den", "von", "zu", "mit", "nicht", "ein", "sich", "ist",
-    "le", "la", "les", "des", "et", "que", "pour", "dans", "qui", "une", "est", "pas",
-    "el", "los", "las", "y", "en", "por", "con", "para", "una", "del", "se", "no",
+    "the", "of", "and", "to", "in", "that",
+    "der", "die", "und", "den", "von", "mit",
+    "le", "la", "les", "des", "et", "que",
+    "el", "los", "las", "en", "por", "con",
 )
-# Each class takes what the ones before it have left; the last bin is the rest.
-CHAR_CLASSES = ("[a-z]+", f"{SPACE}+", r"[.,;:!?'\x22()\-]+", "[A-Z]+", "[0-9]+", r"\p{L}+")
+# Each class takes what white space and the classes before it have left; the last bin is the rest.
+CHAR_CLASSES = ("[a-z]+", r"[.,;:!?'\x22()\-]+", "[A-Z]+", "[0-9]+", r"\p{L}+")
 
 
 def _removed(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def _window_hashes(words: Column) -> Column:
-    """Hash of each window; null where there is at most one."""
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    return F.when(F.size(words) > WINDOW, hashes)
+def _paired(hashes: Column, step: int) -> Column:
+    """Hashes of twice as many words: each with the one ``step`` places on."""
+    return F.zip_with(hashes, F.slice(hashes, step + 1, F.greatest(
+        F.size(hashes) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
 def _repeated_places(placed: Column) -> Column:
@@ -72,12 +75,19 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                      text.alias("text"))
     df = df.withColumn("words", F.array_remove(F.split("text", SPACE + "+", -1), ""))
-    df = df.withColumn("windows", _window_hashes(F.col("words")))
+    # Hashes of one, two, four and eight words; those that run past the end are cut off.
+    df = df.withColumn("hash1", F.transform("words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("hash2", _paired(F.col("hash1"), 1))
+    df = df.withColumn("hash4", _paired(F.col("hash2"), 2))
+    df = df.withColumn("windows", F.when(F.size("words") > WINDOW, F.slice(
+        _paired(F.col("hash4"), 4), 1, F.greatest(F.size("words") - (WINDOW - 1), F.lit(0)))))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    df = df.withColumn("lines", lines).withColumn("common", F.filter(
-        F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*COMMON_WORDS)))
+    both_cases = (*COMMON_WORDS, *(w.capitalize() for w in COMMON_WORDS))
+    df = df.withColumn("lines", lines).withColumn("common", F.transform(
+        F.filter("words", lambda w: w.isin(*both_cases)), lambda w: F.lower(w)))
     # What is left of the text after each class, as lengths.
-    left, sizes = F.col("text"), []
+    df = df.withColumn("in_words", _removed(F.col("text"), SPACE + "+"))
+    left, sizes = F.col("in_words"), []
     for k, pattern in enumerate(CHAR_CLASSES):
         df = df.withColumn(f"left{k}", _removed(left, pattern))
         sizes.append(F.length(left) - F.length(f"left{k}"))
@@ -96,9 +106,9 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.lit(0), lambda a, b: a + b)
     return df.select(
         "id", "lang", n_words.cast("long").alias("n_words"),
-        (F.length("text") - F.length(_removed(F.col("text"), SPACE + "+"))).alias("n_space"),
-        F.length("text").cast("long").alias("n_chars"),
-        (F.length("text") - F.length(_removed(F.col("text"), r"[#*$%&|<>]+"))).cast(
+        F.length("in_words").cast("long").alias("word_chars"),
+        # The symbols are among what the letters leave.
+        (F.length("left0") - F.length(_removed(F.col("left0"), r"[#*$%&|<>]+"))).cast(
             "long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -106,8 +116,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array(*[c.cast("long") for c in counts],
                 (n_words - F.size("common")).cast("long")).alias("word_counts"),
     ).select(
-        "id", "lang", "n_words", (F.col("n_chars") - F.col("n_space")).cast("long").alias(
-            "word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
+        "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS)
          | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias(
             "base_failed"), "class_counts", "word_counts")
@@ -139,7 +148,8 @@ def jensen_shannon(p_counts: Column, q_counts: Column) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           references: DataFrame | None = None, min_judged_words: int = MIN_JUDGED_WORDS,
           max_class_distance: float = MAX_CLASS_DISTANCE,
-          max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+          max_word_distance: float = MAX_WORD_DISTANCE,
+          short_text_allowance: float = SHORT_TEXT_ALLOWANCE) -> DataFrame:
     """Features, both distances and ``kept``, one row per document.
 
     ``references`` (``lang``, ``ref_class_counts``, ``ref_word_counts``) may come from another
@@ -153,8 +163,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     scored = joined.withColumn(
         "class_distance", jensen_shannon(F.col("class_counts"), F.col("ref_class_counts"))
     ).withColumn("word_distance", jensen_shannon(F.col("word_counts"), F.col("ref_word_counts")))
+    word_limit = max_word_distance + short_text_allowance / F.sqrt(F.col("n_words"))
     far = (F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False))
-           | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)))
+           | F.coalesce(F.col("word_distance") > word_limit, F.lit(False)))
     return scored.withColumn("kept", ~F.col("base_failed") & ~(
         (F.col("n_words") >= min_judged_words) & far)).drop(
         "ref_lang", "ref_class_counts", "ref_word_counts")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitframe.llm import exact_dedup, line_dedup, mixing, quality
+from remitframe.llm import (
+    exact_dedup, html_text, line_dedup, mixing, packing, quality, secret_scan, warc_zip)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,25 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "text"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+                        "base_sha256", secret_scan.joined_spans().alias("spans"), "n_checked")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Packing with the public byte-level vocabulary."""
+    import public_tokenizers
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                        public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir)).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -61,12 +81,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixture_levels(), mixture_weights(), tokens=F.col("size")).drop("size")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed(
+        "id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_secrets": op2_secrets,
+        "op3_packing": op3_packing,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_mixing": op7_mixing,
+        "op8_warc": op8_warc,
+        "op10_html": op10_html,
     }
 
 
