@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitframe.llm import (
-    exact_dedup, html_text, line_dedup, mixing, packing, quality, secret_scan, warc_zip)
+    exact_dedup, html_text, line_dedup, mixing, packing, quality, secret_scan,
+    suffix_dedup, warc_zip)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), (F.length("kept") + spans).alias("n_bytes"),
+        spans.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed(
         "id", "page_id")
@@ -100,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op7_mixing": op7_mixing,
         "op8_warc": op8_warc,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_html": op10_html,
     }
 
