@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitframe.llm import (
-    exact_dedup, html_text, line_dedup, mixing, packing, quality, secret_scan,
-    suffix_dedup, warc_zip)
+    exact_dedup, html_text, line_dedup, mixing, near_dup, packing, quality,
+    secret_scan, suffix_dedup, warc_zip)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,11 @@ def mixture_weights() -> dict[str, F.Column]:
         domain == "1", DOMAIN_WEIGHTS[1]).otherwise(DOMAIN_WEIGHTS[2]), "lang": lang}
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mixture of three quarters of all tokens holds each document."""
     docs = documents(spark, sf_dir).select(
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_near_dup": op6_near_dup,
         "op7_mixing": op7_mixing,
         "op8_warc": op8_warc,
         "op9_suffix_dedup": op9_suffix_dedup,

@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitframe.llm.common import send_by_value, staged, text_of
-from remitframe.operators.ordinal import with_ordinal
+from remitframe.llm.common import send_by_value, staged, with_key
 
 send_by_value(__name__)
 
@@ -458,16 +457,6 @@ def _removed(rows: DataFrame, id_type: str, length: int) -> DataFrame:
         cut, f"id {id_type}, removed array<struct<start: long, end: long>>, kept binary")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc`` (a long in the documents' order), ``text`` as bytes, and ``id``."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-    whole = docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if whole and rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
-        return rows.select(F.col("id").cast("long").alias("doc"), "text", "id")
-    ordered = with_ordinal(rows, [F.col("id").asc_nulls_last(), F.col("text")], "doc")
-    return staged(ordered.select(F.col("doc").cast("long").alias("doc"), "text", "id"), "ordered")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    length: int = LENGTH, gram: int | None = None,
                    hot_contexts: int = HOT_CONTEXTS,
@@ -476,7 +465,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length <= COVER:
         raise ValueError(f"length must be above {COVER}")
     gram = gram or min(GRAM, length // 4)
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = with_key(docs, id_col, text_col)
+    keyed = keyed.select("doc", F.col("text").cast("binary").alias("text"),
+                         F.col("id" if "id" in keyed.columns else "doc").alias("id"))
     size = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes),
                   int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -492,5 +483,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = _sorted_buckets(
         _contexts(joined, buckets, hot_list, length, gram), buckets, length).groupBy("doc").agg(
         F.collect_list("runs").alias("runs"))
-    return _removed(keyed.join(runs, "doc", "left").select("id", "text", "runs"),
-                    docs.schema[id_col].dataType.simpleString(), length)
+    return _removed(keyed.join(runs, "doc", "left").select(
+        F.col("id").cast(docs.schema[id_col].dataType).alias("id"), "text", "runs"),
+        docs.schema[id_col].dataType.simpleString(), length)
