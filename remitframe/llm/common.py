@@ -48,7 +48,7 @@ def send_by_value(module: str) -> None:
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str,
-             columns: list[str] | None = None) -> DataFrame:
+             columns: list[str | Column] | None = None) -> DataFrame:
     """``doc``, a unique long in the order of ids, ``text`` (not null) and further ``columns``.
 
     Whole-number ids that neither repeat nor miss are the keys themselves. Otherwise rows are

@@ -69,11 +69,12 @@ def _repeated_places(placed: Column) -> Column:
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  lang_col: str = "lang") -> DataFrame:
-    """Base columns and the two histograms, one row per document."""
+                  lang_col: str = "lang", carried: Column | None = None) -> DataFrame:
+    """Base columns and the two histograms, one row per document, and ``carried`` as it is."""
     text = text_of(text_col)
+    carried = F.lit(None).cast("boolean") if carried is None else carried
     df = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                     text.alias("text"))
+                     text.alias("text"), carried.alias("carried"))
     df = df.withColumn("words", F.array_remove(F.split("text", SPACE + "+", -1), ""))
     # Hashes of one, two, four and eight words; those that run past the end are cut off.
     df = df.withColumn("hash1", F.transform("words", lambda w: F.xxhash64(w)))
@@ -105,7 +106,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.lit(WINDOW), F.coalesce(F.get("repeated", k + 1), p + WINDOW) - p)),
         F.lit(0), lambda a, b: a + b)
     return df.select(
-        "id", "lang", n_words.cast("long").alias("n_words"),
+        "id", "lang", "carried", n_words.cast("long").alias("n_words"),
         F.length("in_words").cast("long").alias("word_chars"),
         # The symbols are among what the letters leave.
         (F.length("left0") - F.length(_removed(F.col("left0"), r"[#*$%&|<>]+"))).cast(
@@ -116,7 +117,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array(*[c.cast("long") for c in counts],
                 (n_words - F.size("common")).cast("long")).alias("word_counts"),
     ).select(
-        "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "id", "lang", "carried", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS)
          | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias(
             "base_failed"), "class_counts", "word_counts")
@@ -149,13 +150,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           references: DataFrame | None = None, min_judged_words: int = MIN_JUDGED_WORDS,
           max_class_distance: float = MAX_CLASS_DISTANCE,
           max_word_distance: float = MAX_WORD_DISTANCE,
-          short_text_allowance: float = SHORT_TEXT_ALLOWANCE) -> DataFrame:
+          short_text_allowance: float = SHORT_TEXT_ALLOWANCE,
+          carried: Column | None = None) -> DataFrame:
     """Features, both distances and ``kept``, one row per document.
 
     ``references`` (``lang``, ``ref_class_counts``, ``ref_word_counts``) may come from another
-    corpus; otherwise all documents given here make them.
+    corpus; otherwise all documents given here make them. ``carried`` is handed through.
     """
-    features = staged(text_features(docs, id_col, text_col, lang_col), "quality")
+    features = staged(text_features(docs, id_col, text_col, lang_col, carried), "quality")
     references = language_references(features) if references is None else references
     references = staged(references, "references").withColumnRenamed("lang", "ref_lang")
     joined = checked_join(
