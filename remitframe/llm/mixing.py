@@ -29,7 +29,7 @@ from remitframe.llm.common import staged, text_of
 from remitframe.session import checked_join
 
 # Documents of a leaf that one task orders.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 _P = "_mix_"
 
 
