@@ -121,4 +121,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from remitframe.llm import oracle   # it takes the mixture's weights from here
+    return oracle.oracle_sql()
