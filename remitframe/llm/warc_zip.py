@@ -70,7 +70,8 @@ def read_directory(file: BinaryIO) -> list[Member]:
     tail = _read_at(file, tail_start, length - tail_start)
     # The comment may hold the signature too: the right one's comment ends the file.
     at = tail.rfind(b"PK\5\6")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from(
+            "<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\5\6", 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
