@@ -43,6 +43,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 _BLOCK = 1 << 20
+# Packed records that one task reads back.
+READ_BYTES = 32 << 20
 
 
 class Member(NamedTuple):
@@ -350,8 +352,12 @@ def round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     folder = folder or scratch(spark, "packages")
     packages = checkpointed(write_packages(pages, _uri(spark, folder), id_col, url_col,
                                            payload_col, min_payload))
-    # The index's lines are few bytes a record; spread, no task reads a whole package's records.
-    places = checkpointed(read_index(packages)).repartitionByRange("path", "at")
+    # A place is few bytes but stands for a whole record: dealt out by what will be read.
+    places = checkpointed(read_index(packages))
+    size = places.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-size // READ_BYTES),
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = places.repartitionByRange(tasks, "path", "at").sortWithinPartitions("path", "at")
     id_type = pages.schema[id_col].dataType
     return read_records(places).withColumn("page_id", F.col("page_id").cast(id_type)).withColumn(
         "refers_to", F.col("refers_to").cast(id_type))
