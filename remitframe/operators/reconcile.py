@@ -7,10 +7,13 @@ order, so "first" is one ``min`` per claim number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitframe.functions.edi import as_of, claim_status_for, position_of
+from remitframe.contracts import CLAIM_STATUSES
+from remitframe.functions.edi import as_of, claim_status_for, entity_id, position_of
 from remitframe.session import checked_join
 
 
@@ -57,21 +60,37 @@ def placeholders(resolved: DataFrame, as_of_date: str | None = None) -> DataFram
         F.lit(True).alias("is_placeholder"))
 
 
+def _last_per_status(order: Column) -> list[Column]:
+    """The last place of each status, as longs: the statuses are few, so a hash aggregate does."""
+    return [F.max(F.when(F.col("claim_status") == s, order)).alias(f"_at_{s}")
+            for s in CLAIM_STATUSES]
+
+
+def _last_status() -> tuple[Column, Column]:
+    """Status and place of the last of the places above."""
+    at = F.greatest(*[F.col(f"_at_{s}") for s in CLAIM_STATUSES])
+    return reduce(lambda out, s: F.when(F.col(f"_at_{s}") == at, s).otherwise(out),
+                  CLAIM_STATUSES, F.lit(None).cast("string")), at
+
+
 def status_updates(resolved: DataFrame) -> DataFrame:
     """Last mapped payment status per claim."""
     mapped = resolved.withColumn("claim_status", claim_status_for(F.col("claim_status_code")))
+    status, at = _last_status()
     latest = mapped.where("claim_status is not null").groupBy("claim_id").agg(
-        F.max_by("claim_status", "remittance_claim_id").alias("claim_status"),
-        F.max("remittance_claim_id").alias("at"))
+        *_last_per_status(F.col("remittance_claim_id"))).select(
+        "claim_id", status.alias("claim_status"), at.alias("at"))
     return latest.select("claim_id", "claim_status", F.shiftright("at", 31).alias("upload_seq"),
                          position_of(F.col("at")).alias("segment_position"))
 
 
 def with_current_status(claims: DataFrame, updates: DataFrame) -> DataFrame:
     """Claims with the status of their latest payment, and when it changed."""
+    status, _ = _last_status()
     latest = updates.groupBy("claim_id").agg(
-        F.max_by("claim_status", F.struct("upload_seq", "segment_position")).alias("_status"),
-        F.max("updated_at").alias("_changed"))
+        *_last_per_status(entity_id(F.col("upload_seq"), F.col("segment_position"))),
+        F.max("updated_at").alias("_changed")).select(
+        "claim_id", status.alias("_status"), "_changed")
     return claims.join(latest, "claim_id", "left").withColumns({
         "claim_status": F.coalesce("_status", F.lit("submitted")),
         "updated_at": F.greatest("created_at", "_changed"),

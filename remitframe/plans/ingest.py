@@ -39,17 +39,21 @@ def annotate(source: Source, store: Store, batch: int,
 def ingest(source: Source, store: Store, batch: int | None = None,
            as_of_date: str | None = None, ingested_at: Column | None = None,
            chunk_segments: int = CHUNK_SEGMENTS, keep_text: bool = True,
-           stream_batch: int | None = None) -> int:
+           stream: str | None = None, stream_batch: int | None = None) -> int:
     """Parse, check, reconcile and commit one batch; returns its number.
 
-    Files rejected by the integrity rules leave no rows but a summary row. ``as_of_date`` stands
-    for "today" wherever a date is missing.
+    A source numbers its files from 1; here they get the numbers after the store's last one, so
+    every upload has its own, whoever read it. Files rejected by the integrity rules leave no rows
+    but a summary row. ``as_of_date`` stands for "today" wherever a date is missing.
     """
     if batch is None:
         batch = max(store.batches(), default=-1) + 1
     # One time for the whole batch: a function of the clock would differ between the writes.
     stamp = F.timestamp_micros(F.lit(time.time_ns() // 1000)) if ingested_at is None \
         else ingested_at
+    before = store.last_seq()
+    source = Source(*[d.withColumn("upload_seq", F.col("upload_seq") + F.lit(before))
+                      for d in (source.files, source.blocks)])
     files = store.stage("files", batch, source.files)
     segments = annotate(Source(files, source.blocks), store, batch, chunk_segments)
     catalogue = store.stage("catalogue", batch, archive.edi_files(files, segments))
@@ -96,8 +100,10 @@ def ingest(source: Source, store: Store, batch: int | None = None,
             done.result()
     store.write("ingest_errors", batch, _errors(store, batch, files, catalogue, rejected))
     store.write("ingest_summary", batch, _summary(store, batch, files, catalogue, rejected))
-    last_seq = files.agg(F.max("upload_seq")).first()[0] or 0
-    store.commit(batch, last_seq, stream_batch)
+    first_seq, last_seq = files.agg(F.min("upload_seq"), F.max("upload_seq")).first()
+    if first_seq is not None and first_seq <= before:
+        raise ValueError("a source has to number its files from 1")
+    store.commit(batch, first_seq or before + 1, last_seq or before, stream, stream_batch)
     return batch
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitframe.operators.reconcile import with_current_status
-from remitframe.session import HOT_ROWS, checked_join, split_join
+from remitframe.session import (
+    BROADCAST_ROWS, HOT_ROWS, checked_join, checkpointed, split_join)
 from remitframe.sources.store import Store
 
 _RAW = ("raw_claim_segment", "raw_sv1_segment", "raw_hi_segment", "raw_clp_segment",
@@ -18,15 +21,24 @@ def current_claims(store: Store) -> DataFrame:
     return with_current_status(store.read("claims"), store.read("status_updates"))
 
 
-def list_claims(store: Store, skip: int = 0, limit: int = 100) -> DataFrame:
+def list_claims(store: Store, skip: int = 0, limit: int = 100,
+                before: tuple[datetime, int] | None = None) -> DataFrame:
     """A page of claims, newest first; ties on the upload time go by id.
 
-    The page is cut before the status is looked up, so the join side is at most ``limit`` rows.
+    ``before`` is (created_at, claim_id) of the last claim of the page before this one. It is pushed
+    into the scan, and each task keeps ``limit`` rows however deep the page is, while ``skip`` has
+    it keep all rows skipped as well. The page is cut before the status is looked up, so the join
+    side is at most ``limit`` rows.
     """
-    page = store.read("claims").drop(*_RAW).orderBy(
-        F.desc("created_at"), F.desc("claim_id")).offset(skip).limit(limit)
+    claims = store.read("claims").drop(*_RAW)
+    if before is not None:
+        time, last = (F.lit(v) for v in before)
+        claims = claims.where((F.col("created_at") <= time) & (
+            (F.col("created_at") < time) | (F.col("claim_id") < last)))
+    page = claims.orderBy(F.desc("created_at"), F.desc("claim_id")).offset(skip).limit(limit)
+    ids = page.select("claim_id")
     updates = store.read("status_updates").join(
-        F.broadcast(page.select("claim_id")), "claim_id", "left_semi")
+        F.broadcast(ids) if limit <= BROADCAST_ROWS else ids, "claim_id", "left_semi")
     return with_current_status(page, updates).orderBy(F.desc("created_at"), F.desc("claim_id"))
 
 
@@ -39,18 +51,21 @@ def list_edi_files(store: Store, skip: int = 0, limit: int = 50) -> DataFrame:
 def claim_detail(store: Store, claim_id: int) -> DataFrame:
     """One claim with its children nested two deep; no row when the id is unknown.
 
-    The id filter reaches every scan. This is a point lookup: the arrays hold one claim's
-    children. For many claims at once use ``claim_tree``.
+    The id filter reaches every scan. A claim and its lines and diagnoses come from one upload,
+    so only its batch is read for them; payments may be in any. This is a point lookup: the
+    arrays hold one claim's children. For many claims at once use ``claim_tree``.
     """
+    own = claim_id >> 31
+
     def children(table: str, key: str, order: list[str], name: str, ids=None) -> DataFrame:
-        rows = store.read(table).drop(*_RAW)
+        rows = store.read(table, own if ids is None else None).drop(*_RAW)
         rows = rows.where(F.col(key) == claim_id) if ids is None else rows.join(
             ids, key, "left_semi")
         rest = [c for c in rows.columns if c not in (*order, key)]
         return rows.groupBy(key).agg(
             F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
     claim = with_current_status(
-        store.read("claims").drop(*_RAW).where(F.col("claim_id") == claim_id),
+        store.read("claims", own).drop(*_RAW).where(F.col("claim_id") == claim_id),
         store.read("status_updates").where(F.col("claim_id") == claim_id))
     remits = store.read("remittance_claims").drop(*_RAW).where(F.col("claim_id") == claim_id)
     ids = remits.select("remittance_claim_id")
@@ -91,7 +106,9 @@ def claim_tree(store: Store) -> DataFrame:
     remits = store.read("remittance_claims")
     owner = remits.select("remittance_claim_id", "claim_id")
     adjustments = store.read("adjustments").join(owner, "remittance_claim_id").withColumn(
-        "place", F.shiftleft(F.col("segment_position").cast("long"), 20) + F.col("ordinal"))
+        "place", F.when(F.col("ordinal") < 1 << 20, F.shiftleft(
+            F.col("segment_position").cast("long"), 20) + F.col("ordinal")).otherwise(
+            F.raise_error(F.lit("a segment has over a million adjustments")).cast("long")))
     remarks = store.read("remark_codes").join(owner, "remittance_claim_id")
     parts = [
         node(current_claims(store), "claim", None, None, "claim_number", "claim_status",
@@ -126,18 +143,26 @@ def denials(store: Store, claim_id: int | None = None,
                                    for d in (claims, updates, remits)]
     denied = with_current_status(claims, updates).where("claim_status = 'denied'").select(
         "claim_id", "claim_number", "payer_name", "total_charge_amount")
-    payments = split_join(remits.select("claim_id", "remittance_claim_id"), denied, "claim_id",
-                          "remittance_claim_id", hot_rows)
+    # Only payments of denied claims are counted for hot ones.
+    denied = checkpointed(denied)
+    few = checked_join(remits.select("claim_id", "remittance_claim_id"),
+                       denied.select("claim_id"), "claim_id", "left_semi")
+    payments = split_join(few, denied, "claim_id", "remittance_claim_id", hot_rows)
+    adjustments, remarks = store.read("adjustments"), store.read("remark_codes")
+    if claim_id is not None:   # only the details of the claim's payments
+        ids = payments.select("remittance_claim_id")
+        adjustments, remarks = [d.join(ids, "remittance_claim_id", "left_semi")
+                                for d in (adjustments, remarks)]
     details = remits.select(
         "remittance_claim_id", F.lit("payment").alias("detail_type"),
         F.lit(None).cast("string").alias("group_code"),
         F.col("claim_status_code").alias("code"), F.col("paid_amount").alias("amount")
-    ).unionByName(store.read("adjustments").select(
+    ).unionByName(adjustments.select(
         "remittance_claim_id", F.lit("adjustment").alias("detail_type"),
         F.col("adjustment_group_code").alias("group_code"),
         F.col("adjustment_reason_code").alias("code"),
         F.col("adjustment_amount").alias("amount"))
-    ).unionByName(store.read("remark_codes").select(
+    ).unionByName(remarks.select(
         "remittance_claim_id", F.lit("remark").alias("detail_type"),
         F.col("remark_code").alias("code")), allowMissingColumns=True)
     # Payments have one row per id, so only a payment with very many details is hot, on the
@@ -160,10 +185,12 @@ def find_claims(store: Store, claim_number: str | None = None,
     wanted: list[Column] = [F.col(name) == value for name, value in (
         ("claim_number", claim_number), ("patient_member_id", patient_member_id),
         ("upload_seq", upload_seq)) if value is not None]
-    claims = store.read("claims")
+    claims, updates = store.read("claims", upload_seq), store.read("status_updates")
     for condition in wanted:
         claims = claims.where(condition)
-    found = with_current_status(claims, store.read("status_updates"))
+    if wanted:   # few claims: only their updates are aggregated
+        updates = updates.join(claims.select("claim_id"), "claim_id", "left_semi")
+    found = with_current_status(claims, updates)
     return found if claim_status is None else found.where(F.col("claim_status") == claim_status)
 
 

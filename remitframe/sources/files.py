@@ -27,6 +27,8 @@ GLOB = "*.{edi,txt,x12}"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ISA_LENGTH = 106
 LARGE_BYTES = 64 * 1024 * 1024
+# Segment terminators that are tried for large files.
+TERMINATORS = ("~", "\n", "'", "|")
 DELIMITERS = ("element_sep", "component_sep", "terminator")
 
 
@@ -67,9 +69,9 @@ def with_delimiters(files: DataFrame, isa: Column | None = None) -> DataFrame:
                               F.lit(f" chars, need {ISA_LENGTH})")))})
 
 
-def upload_order(files: DataFrame, first_seq: int = 1) -> DataFrame:
-    """Number files by (modificationTime, path), without bringing them to one task."""
-    return with_ordinal(files, ["modificationTime", "path"], "upload_seq", first_seq)
+def upload_order(files: DataFrame) -> DataFrame:
+    """Number files from 1 by (modificationTime, path), without bringing them to one task."""
+    return with_ordinal(files, ["modificationTime", "path"], "upload_seq", 1)
 
 
 def from_binary(files: DataFrame) -> Source:
@@ -85,9 +87,9 @@ def from_binary(files: DataFrame) -> Source:
             *DELIMITERS))
 
 
-def numbered(content: DataFrame, first_seq: int) -> DataFrame:
+def numbered(content: DataFrame) -> DataFrame:
     """Whole-file rows with ``upload_seq``. Only paths and times are sorted, not the contents."""
-    seqs = upload_order(content.select("path", "modificationTime"), first_seq)
+    seqs = upload_order(content.select("path", "modificationTime"))
     # This side holds only path and number; adaptive execution broadcasts it when its measured
     # size is small.
     return content.select("path", "content").join(seqs.select("path", "upload_seq"), "path")
@@ -97,18 +99,19 @@ def _reader(spark: SparkSession, glob: str):
     return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
 
 
-def read_edi(spark: SparkSession, path: str, first_seq: int = 1, glob: str = GLOB,
-             large_bytes: int = LARGE_BYTES, terminators: tuple[str, ...] = ("~",)) -> Source:
+def read_edi(spark: SparkSession, path: str, glob: str = GLOB,
+             large_bytes: int = LARGE_BYTES,
+             terminators: tuple[str, ...] = TERMINATORS) -> Source:
     """Read EDI files of any size.
 
     A file up to ``large_bytes`` is one row, with any delimiters and either charset. A larger one
-    is split into byte ranges, so it is never in one task; it has to be UTF-8 and end its
-    segments with one of ``terminators``, or it gets a file error. Name only terminators that
-    are in use: each costs a pass over the large files.
+    is split into byte ranges, so it is never in one task; either charset is found over all of its
+    records, and it has to end its segments with one of ``terminators``, or it gets a file error.
+    They are tried in turn until every large file has one, so put the usual ones first.
     """
     listed = _reader(spark, glob).format("binaryFile").load(path)
     seqs = upload_order(listed.select(F.col("_metadata.file_path").alias("path"),
-                                      "modificationTime", "length"), first_seq)
+                                      "modificationTime", "length"))
     # The length filter is applied to the listing: contents of large files are not read.
     content = listed.where(F.col("length") <= large_bytes).select(
         F.col("_metadata.file_path").alias("path"), "content")
@@ -122,7 +125,11 @@ def read_edi(spark: SparkSession, path: str, first_seq: int = 1, glob: str = GLO
 
 def _read_records(spark: SparkSession, path: str, glob: str, large: DataFrame,
                   large_bytes: int, terminators: tuple[str, ...]) -> Source:
-    """Large files as text records that end at a terminator; a byte range is a chunk."""
+    """Large files as text records that end at a terminator; a byte range is a chunk.
+
+    Records are cut as bytes, which is safe in both charsets, and stay bytes until the charset of
+    their whole file is known.
+    """
     found, blocks = None, None
     for t in terminators:
         records = (_reader(spark, glob).option("lineSep", t).text(path)
@@ -130,23 +137,31 @@ def _read_records(spark: SparkSession, path: str, glob: str, large: DataFrame,
                    .select(F.col("_metadata.file_path").alias("path"),
                            F.col("_metadata.file_block_start").alias("chunk"),
                            F.monotonically_increasing_id().alias("block_seq"),
-                           F.col("value").alias("text")))
-        # The ISA segment must be complete when the record ends, or this is not its terminator.
-        head = F.substring(F.col("text"), F.locate("ISA", F.col("text")), F.lit(ISA_LENGTH))
-        heads = (records.where(F.contains("text", F.lit("ISA"))).groupBy("path")
-                 .agg(F.min_by(head, F.struct("chunk", "block_seq")).alias("head"))
-                 .where(F.length("head") == ISA_LENGTH - 1))
-        files = with_delimiters(large.join(heads, "path"), F.concat("head", F.lit(t)))
-        found = files if found is None else found.unionByName(files)
+                           F.col("value").cast("binary").alias("content")))
+        mine = records if found is None else records.join(
+            found.select("path"), "path", "left_anti")
+        # Latin-1 shows the ASCII of a head as it is in either charset. The ISA segment must be
+        # complete when the record ends, or this is not its terminator.
+        latin = F.decode("content", "ISO-8859-1")
+        head = F.substring(latin, F.locate("ISA", latin), F.lit(ISA_LENGTH))
+        seen = mine.groupBy("path").agg(
+            F.min_by(F.when(F.contains(latin, F.lit("ISA")), head), F.when(
+                F.contains(latin, F.lit("ISA")), F.struct("chunk", "block_seq"))).alias("head"),
+            F.bool_and(F.try_validate_utf8(F.col("content").cast("string")).isNotNull()).alias(
+                "utf8")).where(F.length("head") == ISA_LENGTH - 1)
+        files = checkpointed(with_delimiters(large.join(seen, "path"), F.concat("head", F.lit(t))))
+        text = F.when(F.col("utf8"), F.col("content").cast("string")).otherwise(latin)
         # A file that is split into very many records sits on the left, where adaptive
         # execution can divide it.
-        mine = records.where(strip(F.col("text")) != "").join(
-            files.select("path", "upload_seq", *DELIMITERS), "path").drop("path")
-        blocks = mine if blocks is None else blocks.unionByName(mine)
-    found = checkpointed(found)
+        part = records.join(files.select("path", "upload_seq", "utf8", *DELIMITERS), "path").select(
+            "upload_seq", "chunk", "block_seq", text.alias("text"), *DELIMITERS).where(
+            strip(F.col("text")) != "")
+        found = files if found is None else found.unionByName(files)
+        blocks = part if blocks is None else blocks.unionByName(part)
+        if large.join(found, "path", "left_anti").isEmpty():
+            break
     lost = large.join(found.select("path"), "path", "left_anti").withColumn(
         "file_error", F.lit(f"no ISA segment ends at one of {list(terminators)}"))
     files = found.unionByName(lost, allowMissingColumns=True)
     return Source(files.select("upload_seq", file_name_of(F.col("path")).alias("file_name"),
-                               *DELIMITERS, "file_error"),
-                  blocks.select("upload_seq", "chunk", "block_seq", "text", *DELIMITERS))
+                               *DELIMITERS, "file_error"), blocks)

@@ -2,7 +2,9 @@
 
 ``<path>/<table>/batch=N`` holds what batch N added. A batch counts only once its row is in
 ``<path>/commits``, which is written last: readers see all of a batch or nothing, and a batch
-that is run again after a failure replaces its own folders.
+that is run again after a failure replaces its own folders. The row names the tables the batch
+has, the range of its upload numbers, and the stream and micro-batch it came from, if any. Staged
+frames of a batch are deleted once it is committed.
 """
 
 from __future__ import annotations
@@ -13,12 +15,16 @@ from pyspark.sql import functions as F
 
 from remitframe.contracts import conform, schema_of
 
-_COMMITS = "batch long, last_seq long, stream_batch long, committed_at timestamp"
+_COMMITS = ("batch long, first_seq long, last_seq long, tables array<string>, stream string, "
+            "stream_batch long, committed_at timestamp")
+# Ids hold an upload number above a 31-bit position.
+MAX_SEQ = (1 << 32) - 1
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._written: dict[int, set[str]] = {}
 
     def folder(self, table: str, batch: int) -> str:
         return f"{self.path}/{table}/batch={batch}"
@@ -44,6 +50,7 @@ class Store:
 
     def write(self, table: str, batch: int, df: DataFrame) -> DataFrame:
         """Write the rows a batch adds to a table and read them back."""
+        self._written.setdefault(batch, set()).add(table)
         conform(df, table).write.mode("overwrite").parquet(self.folder(table, batch))
         return self.written(table, batch)
 
@@ -71,23 +78,52 @@ class Store:
                 self.spark.conf.set(writers, before)
         return self.spark.read.schema(df.schema).parquet(folder)
 
-    def has_stream_batch(self, number: int) -> bool:
-        """Whether this micro-batch of the stream that feeds the store is already committed."""
+    def has_stream_batch(self, stream: str, number: int) -> bool:
+        """Whether this micro-batch of this stream is already committed."""
         commits = self._commits()
         return commits is not None and not commits.where(
-            F.col("stream_batch") == number).isEmpty()
+            (F.col("stream") == stream) & (F.col("stream_batch") == number)).isEmpty()
 
-    def commit(self, batch: int, last_seq: int, stream_batch: int | None = None) -> None:
+    def commit(self, batch: int, first_seq: int, last_seq: int, stream: str | None = None,
+               stream_batch: int | None = None) -> None:
+        """Make the tables that ``write`` wrote for this batch visible, all at once."""
+        if last_seq > MAX_SEQ:
+            raise ValueError(f"upload number {last_seq} does not fit in an id")
         self.spark.range(1).select(
             F.lit(batch).cast("long").alias("batch"),
+            F.lit(first_seq).cast("long").alias("first_seq"),
             F.lit(last_seq).cast("long").alias("last_seq"),
+            F.array(*[F.lit(t) for t in sorted(self._written.pop(batch, ()))]).cast(
+                "array<string>").alias("tables"),
+            F.lit(stream).cast("string").alias("stream"),
             F.lit(stream_batch).cast("long").alias("stream_batch"),
             F.current_timestamp().alias("committed_at")
         ).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
-
-    def read(self, table: str) -> DataFrame:
-        """All committed rows of a table, under its contract; empty before the first commit."""
-        folders = [self.folder(table, b) for b in self.batches()]
+        self._delete_staged(batch)
+
+    def _delete_staged(self, batch: int) -> None:
+        """Removes what ``stage`` wrote for a batch: nothing reads it after the commit."""
+        context = self.spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs.Path
+        staging = hadoop(f"{self.path}/staging")
+        files = staging.getFileSystem(context._jsc.hadoopConfiguration())
+        for found in files.globStatus(hadoop(f"{self.path}/staging/*/batch={batch}")) or ():
+            files.delete(found.getPath(), True)
+
+    def read(self, table: str, upload_seq: int | None = None) -> DataFrame:
+        """Committed rows of a table, under its contract; empty before the first commit.
+
+        Given an upload number, only the batch that holds it is read.
+        """
+        commits = self._commits()
+        folders = []
+        if commits is not None:
+            if upload_seq is not None:
+                commits = commits.where(F.lit(upload_seq).between(
+                    F.col("first_seq"), F.col("last_seq")))
+            folders = [self.folder(table, r.batch) for r in commits.where(
+                F.array_contains("tables", table)).select("batch").distinct().orderBy(
+                "batch").collect()]
         if not folders:
             return self.spark.createDataFrame([], schema_of(table))
         return self.spark.read.schema(schema_of(table)).parquet(*folders)

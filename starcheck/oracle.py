@@ -381,5 +381,44 @@ SELECT count(*) AS total_claims, CAST(sum(denied) AS BIGINT) AS denied_claims,
 }
 
 
+def _found_by(column: str, shown: str) -> str:
+    return f"""
+SELECT claim_id, claim_number, claim_status, {shown} FROM claims WHERE {column} = (
+  SELECT arg_min({column}, claim_id) FROM claims WHERE {column} IS NOT NULL)"""
+
+
+_BATCH = ("CASE WHEN {0} <= last // 3 THEN 0 WHEN {0} <= last * 2 // 3 THEN 1 ELSE 2 END")
+_COLUMNS_AT_ONCE = _features("dataset")
+_BODIES |= {
+    "features_saved": _BODIES["features"],
+    "features_at_once": f"SELECT * EXCLUDE (claim_id) FROM ({_COLUMNS_AT_ONCE})",
+    "denial_scores": """
+SELECT claim_id, denied, true AS in_range, true AS in_band FROM dataset""",
+    "described_codes": """
+SELECT 'carc' AS code_type, code, r_name AS description, uses FROM (
+  SELECT adjustment_reason_code AS code, count(*) AS uses FROM adj GROUP BY 1) LEFT JOIN region
+  ON code = CASE r_regionkey WHEN 0 THEN '45' WHEN 1 THEN '50' ELSE 'R' || r_regionkey END
+UNION ALL SELECT 'rarc', code, r_name, uses FROM (
+  SELECT remark_code AS code, count(*) AS uses FROM remarks GROUP BY 1) LEFT JOIN region
+  ON code = CASE r_regionkey WHEN 0 THEN 'N130' WHEN 1 THEN 'N50' ELSE 'NR' || r_regionkey END
+UNION ALL SELECT 'claim_status', code, r_name, uses FROM (
+  SELECT claim_status_code AS code, count(*) AS uses FROM remits GROUP BY 1) LEFT JOIN region
+  ON code = CAST(r_regionkey + 1 AS VARCHAR)""",
+    "ingest_in_batches": _BODIES["claims"],
+    "remittances_in_batches": _BODIES["remittances"],
+    "updated_claims": f"""
+SELECT claim_id, EXISTS (SELECT 1 FROM remits r WHERE r.claim_id = c.claim_id
+    AND r.claim_status_code IN ('1', '4', '22') AND {_BATCH.format('r.upload_seq')}
+      > {_BATCH.format('c.upload_seq')}) AS changed
+FROM claims c, (SELECT max(u) AS last FROM (SELECT u FROM st7 UNION SELECT u FROM st5))""",
+    "find_claims_by_number": _found_by("claim_number", "total_charge_amount"),
+    "find_claims_by_member": _found_by("patient_member_id", "patient_member_id"),
+    "find_claims_by_file": _found_by("upload_seq", "upload_seq"),
+    "denials_by_id": _BODIES["denials"] + """ AND c.claim_id = (
+  SELECT min(claim_id) FROM claims WHERE claim_status = 'denied')""",
+    "next_page": _BODIES["list_claims"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: BASE + body for name, body in _BODIES.items()}

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from remitframe.operators.features import FeatureEngineer, FeatureModel, label_dictionary
 from remitframe.operators.quantile import exact_quantile
-from remitframe.operators.scoring import score_denials, train_denial_model
+from remitframe.operators.scoring import RISK_BANDS, score_denials, train_denial_model
 from remitframe.plans import reads
 from remitframe.plans.dataset import build_dataset, dataset_stats
 from remitframe.plans.ingest import ingest
 from remitframe.session import shared_dir
+from remitframe.sources.codes import load_code_masters
 from remitframe.sources.files import Source
-from remitframe.sources.starfeed import AS_OF, code_masters, star_source
+from starcheck.starfeed import AS_OF, code_masters, star_source
 from remitframe.sources.store import Store
 
 _stores: dict[tuple[str, str], Store] = {}
@@ -37,11 +38,27 @@ def build_store(spark: SparkSession, sf_dir: str, name: str,
                 source: Source | None = None) -> Store:
     """Ingest the EDI text of all tables and return the store."""
     store = Store(spark, f"{shared_dir(spark)}/{name}")
-    batch = ingest(source or render(spark, sf_dir), store, as_of_date=AS_OF, keep_text=False)
-    store.write("code_masters", batch, code_masters(spark, sf_dir))
+    load_code_masters(store, code_masters(spark, sf_dir))
+    ingest(source or render(spark, sf_dir), store, as_of_date=AS_OF, keep_text=False)
     return store
 
 
+def batch_store(spark: SparkSession, sf_dir: str, batches: int = 3) -> Store:
+    """The same files in several batches, each numbered from 1 like any source."""
+    key = (*_key(spark, sf_dir), "batches")
+    if key not in _stores:
+        digest = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
+        store, source = Store(spark, f"{shared_dir(spark)}/batches-{digest}"), render(spark, sf_dir)
+        last = source.files.agg(F.max("upload_seq")).first()[0] or 0
+        for n in range(batches):
+            low, high = last * n // batches, last * (n + 1) // batches
+            part = [d.where(F.col("upload_seq").between(low + 1, high)).withColumn(
+                "upload_seq", F.col("upload_seq") - low) for d in (source.files, source.blocks)]
+            ingest(Source(*part), store, as_of_date=AS_OF, keep_text=n == 0)
+        _stores[key] = store
+    return _stores[key]
+
+
 def star_store(spark: SparkSession, sf_dir: str, source: Source | None = None) -> Store:
     """The ingested store for a data folder: built by the first query of a session."""
     key = _key(spark, sf_dir)
@@ -131,6 +148,60 @@ def code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         "place_of_service")
 
 
+def described_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes in use of the other three code types, with their descriptions."""
+    store = star_store(spark, sf_dir)
+    codes, out = store.read("code_masters"), None
+    for kind, table, column in (("carc", "adjustments", "adjustment_reason_code"),
+                                ("rarc", "remark_codes", "remark_code"),
+                                ("claim_status", "remittance_claims", "claim_status_code")):
+        counted = store.read(table).groupBy(F.col(column).alias("code")).agg(
+            F.count(F.lit(1)).alias("uses"))
+        part = reads.with_code_descriptions(counted, codes, kind, "code").select(
+            F.lit(kind).alias("code_type"), "code", "description", "uses")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def updated_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a later batch changed a claim."""
+    return reads.current_claims(batch_store(spark, sf_dir)).select(
+        "claim_id", (F.col("updated_at") > F.col("created_at")).alias("changed"))
+
+
+def _first_found(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """Claims that share a key with the first claim that has one."""
+    store = star_store(spark, sf_dir)
+    first = store.read("claims").where(F.col(column).isNotNull()).agg(
+        F.min_by(column, "claim_id")).first()[0]
+    return reads.find_claims(store, **{column: first}).select(
+        "claim_id", "claim_number", "claim_status", column if column != "claim_number"
+        else "total_charge_amount")
+
+
+def denials_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = star_store(spark, sf_dir)
+    wanted = reads.find_claims(store, claim_status="denied").agg(F.min("claim_id")).first()[0]
+    return reads.denials(store, -1 if wanted is None else wanted)
+
+
+def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the one ``list_claims`` stops at, by key instead of by offset."""
+    store = star_store(spark, sf_dir)
+    last = reads.list_claims(store, 999, 1).first()
+    if last is None:
+        return _no_raw(reads.list_claims(store, 1000, 100))
+    return _no_raw(reads.list_claims(store, 0, 100, before=(last.created_at, last.claim_id)))
+
+
+def features_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features from a model that was saved and loaded."""
+    path = f"{shared_dir(spark)}/saved-model"
+    star_model(spark, sf_dir).save(path)
+    return FeatureModel.load(spark, path).transform(
+        build_dataset(star_store(spark, sf_dir)), keep=("claim_id",))
+
+
 def charge_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset = build_dataset(star_store(spark, sf_dir))
     value = exact_quantile(dataset, "total_charge_amount", 0.75)
@@ -138,10 +209,16 @@ def charge_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def denial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every adjudicated claim scored by a model trained on those claims."""
+    """Every adjudicated claim scored by a model trained on those claims, and whether score and
+    level are as they have to be."""
     features = star_model(spark, sf_dir).transform(
         build_dataset(star_store(spark, sf_dir)), validate=False, keep=("claim_id", "denied"))
-    return score_denials(features, train_denial_model(features))
+    scored = score_denials(features, train_denial_model(features))
+    p, level = F.col("denial_probability"), F.lit(None).cast("string")
+    for low, name in RISK_BANDS:
+        level = F.when(p >= low, name).otherwise(level)
+    return scored.select("claim_id", "denied", p.between(0, 1).alias("in_range"),
+                         (F.col("risk_level") == level).alias("in_band"))
 
 
 def _read(table: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -185,5 +262,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             build_dataset(star_store(s, d)), keep=("claim_id",)),
         "feature_unseen": lambda s, d: star_model(s, d).transform(
             build_dataset(star_store(s, d), adjudicated_only=False), keep=("claim_id",)),
+        "features_saved": features_saved,
+        "features_at_once": lambda s, d: FeatureEngineer().fit_transform(
+            build_dataset(star_store(s, d))),
         "denial_scores": denial_scores,
+        "described_codes": described_codes,
+        "ingest_in_batches": lambda s, d: _no_raw(reads.current_claims(batch_store(s, d))),
+        "remittances_in_batches": lambda s, d: _no_raw(
+            batch_store(s, d).read("remittance_claims")),
+        "updated_claims": updated_claims,
+        "find_claims_by_number": lambda s, d: _first_found(s, d, "claim_number"),
+        "find_claims_by_member": lambda s, d: _first_found(s, d, "patient_member_id"),
+        "find_claims_by_file": lambda s, d: _first_found(s, d, "upload_seq"),
+        "denials_by_id": denials_by_id,
+        "next_page": next_page,
     }

@@ -186,8 +186,17 @@ def code_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("pos").alias("code_type"),
         F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"),
         F.col("n_name").alias("description"))
-    reasons = _table(spark, sf_dir, "region").where("r_regionkey < 2").select(
+    # Reasons in use first; the other regions get codes that no adjustment has.
+    key = F.col("r_regionkey")
+    reasons = _table(spark, sf_dir, "region").select(
         F.lit("carc").alias("code_type"),
-        F.when(F.col("r_regionkey") == 0, "45").otherwise("50").alias("code"),
+        F.when(key == 0, "45").when(key == 1, "50").otherwise(
+            F.concat(F.lit("R"), key.cast("string"))).alias("code"),
         F.col("r_name").alias("description"))
-    return nation.unionByName(reasons)
+    remarks = reasons.select(F.lit("rarc").alias("code_type"), F.when(
+        F.col("code") == "45", "N130").otherwise(F.concat(F.lit("N"), "code")).alias("code"),
+        "description")
+    statuses = _table(spark, sf_dir, "region").select(
+        F.lit("claim_status").alias("code_type"), (key + 1).cast("string").alias("code"),
+        F.col("r_name").alias("description"))
+    return nation.unionByName(reasons).unionByName(remarks).unionByName(statuses)

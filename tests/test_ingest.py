@@ -10,10 +10,12 @@ import pytest
 from remitframe.contracts import TABLES
 from remitframe.plans import reads
 from remitframe.plans.ingest import ingest
+from remitframe.sources.codes import load_code_masters
 from remitframe.sources.files import read_edi
 from remitframe.sources.store import Store
 from remitframe.streaming.incremental import stream_ingest
-from tests.edi_texts import AS_OF, FILES, new_folder, write_files
+from tests.edi_texts import (
+    AS_OF, FILES, SAMPLE_835, SAMPLE_837, new_folder, text, write_files)
 
 D = Decimal
 TODAY = date(2024, 1, 1)
@@ -277,3 +279,112 @@ def test_large_file_with_unknown_terminator(spark):
     folder = write_files(["sample837.edi", "sample835.edi"])
     files = read_edi(spark, folder, large_bytes=10, terminators=("|",)).files.collect()
     assert {f.file_error for f in files} == {"no ISA segment ends at one of ['|']"}
+
+
+def _one(spark, name, text, tmp_path):
+    folder = tmp_path / name
+    folder.mkdir()
+    (folder / f"{name}.edi").write_bytes(text.encode())
+    return read_edi(spark, str(folder))
+
+
+def test_batches_have_their_own_numbers(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    ingest(_one(spark, "a", SAMPLE_837, tmp_path), store, as_of_date=AS_OF)
+    ingest(_one(spark, "b", SAMPLE_835, tmp_path), store, as_of_date=AS_OF, keep_text=False)
+    ingest(_one(spark, "c", text("837", "CLM*H2*10***11"), tmp_path), store, as_of_date=AS_OF)
+    claims = reads.current_claims(store)
+    found = {r.claim_number: r for r in claims.collect()}
+    assert claims.count() == 3 and len({r.claim_id for r in found.values()}) == 3
+    assert sorted(r.upload_seq for r in store.read("edi_files").collect()) == [1, 2, 3]
+    # The 835 of the second batch changed the claims of the first, and only those.
+    assert found["CLM-001"].claim_status == "paid" and found["CLM-002"].claim_status == "denied"
+    assert found["CLM-001"].updated_at > found["CLM-001"].created_at
+    assert found["H2"].updated_at == found["H2"].created_at
+    # A table that a batch does not have is read from the others.
+    assert {r.upload_seq for r in store.read("edi_text").collect()} == {1, 3}
+    assert not (tmp_path / "store" / "staging").exists() or not any(
+        p.is_file() for p in (tmp_path / "store" / "staging").rglob("*"))
+
+
+def test_lookups_read_one_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for name, number in (("a", "A1"), ("b", "B1")):
+        ingest(_one(spark, name, text("837", f"CLM*{number}*10***11", "SV1*HC:1*1*UN*1"),
+                    tmp_path), store, as_of_date=AS_OF)
+    last = store.read("claims").where("claim_number = 'B1'").first()
+    assert {f.split("batch=")[1][0] for f in store.read("claims", last.upload_seq).inputFiles()} \
+        == {"1"}
+    detail = reads.claim_detail(store, last.claim_id).first()
+    assert detail.claim_number == "B1" and len(detail.claim_lines) == 1
+    assert reads.find_claims(store, claim_number="A1").count() == 1
+
+
+def test_two_streams_into_one_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for name in ("first", "second"):
+        folder = tmp_path / name
+        folder.mkdir()
+        for k in range(2):
+            (folder / f"{k}.edi").write_text(text("837", f"CLM*{name}{k}*10***11"))
+        for _ in range(2):   # running a stream again reads nothing twice
+            stream_ingest(spark, str(folder), store.path, str(tmp_path / f"{name}-checkpoint"),
+                          as_of_date=AS_OF).awaitTermination()
+    assert sorted(r.claim_number for r in store.read("claims").collect()) == [
+        "first0", "first1", "second0", "second1"]
+
+
+def test_codes_are_checked_and_outlive_batches(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    codes = spark.createDataFrame([("pos", "11", "Office"), ("carc", "45", "Charge")],
+                                  "code_type string, code string, description string")
+    load_code_masters(store, codes)
+    ingest(_one(spark, "a", SAMPLE_837, tmp_path), store, as_of_date=AS_OF)
+    assert store.read("code_masters").count() == 2 and store.read("claims").count() == 2
+    wrong = [[("pos", "11", "Again")], [("pos", "12", "a"), ("pos", "12", "b")],
+             [("unknown", "1", "x")], [("pos", "12345678901", "x")], [("pos", None, "x")],
+             [("pos", "13", None)], [("pos", "14", "x" * 501)]]
+    for rows_ in wrong:
+        with pytest.raises(ValueError, match="codes "):
+            load_code_masters(store, spark.createDataFrame(rows_, codes.schema))
+    assert store.read("code_masters").count() == 2
+
+
+@pytest.mark.parametrize("terminator", ["~", "\n"])
+def test_size_changes_neither_charset_nor_result(spark, tmp_path, terminator):
+    payer = text("837", "N1*PR*Caf\xe9", "CLM*L1*10***:B:1", *[
+        f"SV1*HC:{k}*1*UN*1" for k in range(40)], t=terminator)
+    for name, content in (("latin", payer.encode("latin-1")), ("utf", payer.encode())):
+        (tmp_path / f"{name}.edi").write_bytes(content)
+    tables = []
+    for name, large in (("whole", 1 << 20), ("cut", 200)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64" if name == "cut" else "128m")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            store = Store(spark, str(tmp_path / name))
+            ingest(read_edi(spark, str(tmp_path), large_bytes=large), store, as_of_date=AS_OF)
+            tables.append(sorted(tuple(r) for r in store.read("claims").select(
+                "claim_id", "payer_name", "claim_number").collect()) + sorted(
+                tuple(r) for r in store.read("claim_lines").select(
+                    "claim_id", "line_number", "procedure_code").collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tables[0] == tables[1]
+    assert {r[1] for r in tables[0][:2]} == {"Caf\xe9"}
+
+
+def test_pages_by_key(spark, store):
+    pages, before = [], None
+    while True:
+        page = reads.list_claims(store, limit=7, before=before).collect()
+        if not page:
+            break
+        pages += [r.claim_id for r in page]
+        before = (page[-1].created_at, page[-1].claim_id)
+    assert pages == [r.claim_id for r in reads.list_claims(store, 0, 1000).collect()]
+
+
+def test_status_aggregates_hash(spark, store):
+    plan = reads.current_claims(store)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
