@@ -45,6 +45,8 @@ COVER = 32
 HOT_CONTEXTS = 500_000
 # Text per bucket, in bytes; a bucket is what a task holds at once.
 BUCKET_BYTES = 64 << 20
+# Suffix buckets that a task sorts, one at a time.
+_BUCKETS_PER_TASK = 16
 # Bytes whose anchors are computed at once.
 _PIECE = 1 << 19
 # Contexts whose suffixes are sorted at once; an anchor with more is done in slices, as equal
@@ -382,7 +384,7 @@ def _give_single(out, single, doc: int, lo: int, data: bytes, length: int, bucke
             _append(out, key[0] % buckets, key[0], doc, lo + k, 0, 1, None, key[1])
 
 
-def _sorted_buckets(contexts: DataFrame, buckets: int, length: int) -> DataFrame:
+def _sorted_buckets(contexts: DataFrame, tasks: int, length: int) -> DataFrame:
     """Runs of repeated starts: ``doc`` and ``runs`` (packed starts and counts)."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
@@ -428,7 +430,7 @@ def _sorted_buckets(contexts: DataFrame, buckets: int, length: int) -> DataFrame
                     pa.array([d for d, _ in found], pa.int64()),
                     pa.array([run[k].astype("<u4").tobytes() for _, k in found], pa.binary())],
                     names=["doc", "runs"])
-    return contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    return contexts.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
         judge, "doc long, runs binary")
 
 
@@ -466,8 +468,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be above {COVER}")
     gram = gram or min(GRAM, length // 4)
     keyed = with_key(docs, id_col, text_col)
-    keyed = keyed.select("doc", F.col("text").cast("binary").alias("text"),
-                         F.col("id" if "id" in keyed.columns else "doc").alias("id"))
+    # Keys are never null; said here, both joins below read the documents in the same way.
+    keyed = keyed.where("doc is not null").select(
+        "doc", F.col("text").cast("binary").alias("text"),
+        F.col("id" if "id" in keyed.columns else "doc").alias("id"))
     size = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes),
                   int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -481,7 +485,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Both joins read the same columns, so the documents are dealt out by key once for both.
     joined = keyed.join(places, "doc").select("doc", "text", "places", "id")
     runs = _sorted_buckets(
-        _contexts(joined, buckets, hot_list, length, gram), buckets, length).groupBy("doc").agg(
+        _contexts(joined, buckets * _BUCKETS_PER_TASK, hot_list, length, gram), buckets,
+        length).groupBy("doc").agg(
         F.collect_list("runs").alias("runs"))
     return _removed(keyed.join(runs, "doc", "left").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias("id"), "text", "runs"),
