@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from remitframe.llm import line_dedup, mixing, near_dup, quality, queries
 from remitframe.llm.common import staged, with_key
+from remitframe.session import checked_join
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Of what is left by then, the mixture may take so much. Documents are taken once.
@@ -20,8 +21,15 @@ BUDGET_SHARE = 0.9
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that fail the base rules or are far from their language."""
-    judged = quality.judge(docs, carried=F.struct(*COLUMNS))
-    return judged.where("kept").select("carried.*")
+    # The verdict follows from these three; texts are neither moved nor written a second time.
+    key = {"doc_id": F.col("doc_id"), "lang": F.col("lang"),
+           "digest": F.sha2(F.coalesce("text", F.lit("")), 256)}
+    judged = quality.judge(docs, carried=F.struct(*[c.alias(n) for n, c in key.items()]))
+    dropped = staged(judged.where("not kept").select("carried.*").distinct(), "dropped")
+    same = [c.eqNullSafe(dropped[n]) for n, c in (
+        ("doc_id", docs["doc_id"]), ("lang", docs["lang"]),
+        ("digest", F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))]
+    return checked_join(docs, dropped, same, "left_anti").select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +44,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     keyed = with_key(docs.select(*COLUMNS), "doc_id", "text",
                      [F.struct(*COLUMNS).alias("row")])
     found = near_dup.near_duplicates(keyed.select("doc", "text"), id_col="doc")
-    dropped = found.where("not stays").select(F.col("id").alias("doc"))
-    return keyed.select("doc", "row").join(dropped, "doc", "left_anti").select("row.*")
+    dropped = staged(found.where("not stays").select(F.col("id").alias("doc")), "dropped")
+    return checked_join(keyed.select("doc", "row"), dropped, "doc", "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
