@@ -9,6 +9,7 @@ import pytest
 
 from remitframe.contracts import TABLES
 from remitframe.plans import reads
+from remitframe.plans.dataset import build_dataset
 from remitframe.plans.ingest import ingest
 from remitframe.sources.codes import load_code_masters
 from remitframe.sources.files import read_edi
@@ -386,5 +387,6 @@ def test_pages_by_key(spark, store):
 
 
 def test_status_aggregates_hash(spark, store):
-    plan = reads.current_claims(store)._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    for df in (reads.current_claims(store), build_dataset(store)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
