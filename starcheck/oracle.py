@@ -405,6 +405,8 @@ UNION ALL SELECT 'claim_status', code, r_name, uses FROM (
   SELECT claim_status_code AS code, count(*) AS uses FROM remits GROUP BY 1) LEFT JOIN region
   ON code = CAST(r_regionkey + 1 AS VARCHAR)""",
     "ingest_in_batches": _BODIES["claims"],
+    "files_claims": _BODIES["claims"],
+    "stream_claims": _BODIES["claims"],
     "remittances_in_batches": _BODIES["remittances"],
     "updated_claims": f"""
 SELECT claim_id, EXISTS (SELECT 1 FROM remits r WHERE r.claim_id = c.claim_id

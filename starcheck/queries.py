@@ -16,9 +16,10 @@ from remitframe.plans.dataset import build_dataset, dataset_stats
 from remitframe.plans.ingest import ingest
 from remitframe.session import shared_dir
 from remitframe.sources.codes import load_code_masters
-from remitframe.sources.files import Source
+from remitframe.sources.files import Source, read_edi
 from starcheck.starfeed import AS_OF, code_masters, star_source
 from remitframe.sources.store import Store
+from remitframe.streaming.incremental import stream_ingest
 
 _stores: dict[tuple[str, str], Store] = {}
 _models: dict[tuple[str, str], FeatureModel] = {}
@@ -68,6 +69,45 @@ def star_store(spark: SparkSession, sf_dir: str, source: Source | None = None) -
     return _stores[key]
 
 
+def edi_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The same files as real ones, a folder each, with times in the order of their numbers."""
+    digest = hashlib.sha256("|".join(_key(spark, sf_dir)).encode()).hexdigest()[:16]
+    folder = f"{shared_dir(spark)}/edi-{digest}"
+    blocks = render(spark, sf_dir).blocks
+    # Blocks end with their last terminator, so a newline between two of them means nothing.
+    (blocks.repartition("upload_seq").sortWithinPartitions("upload_seq", "chunk", "block_seq")
+     .select("upload_seq", "text").write.mode("overwrite").partitionBy("upload_seq").text(folder))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(hadoop(f"{folder}/upload_seq=*/part-*")):
+        number = int(found.getPath().getParent().getName().split("=")[1])
+        files.setTimes(found.getPath(), 1_700_000_000_000 + number * 1000, -1)
+    return folder
+
+
+def file_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Ingest of real files; those above 64 KB are read in byte ranges."""
+    key = (*_key(spark, sf_dir), "files")
+    if key not in _stores:
+        folder = edi_folder(spark, sf_dir)
+        _stores[key] = Store(spark, f"{folder}-store")
+        ingest(read_edi(spark, folder, large_bytes=1 << 16), _stores[key], as_of_date=AS_OF,
+               keep_text=False)
+    return _stores[key]
+
+
+def stream_store(spark: SparkSession, sf_dir: str, files_per_batch: int = 40) -> Store:
+    """The same files as a stream of micro-batches."""
+    key = (*_key(spark, sf_dir), "stream")
+    if key not in _stores:
+        folder = edi_folder(spark, sf_dir)
+        query = stream_ingest(spark, folder, f"{folder}-streamed", f"{folder}-checkpoint",
+                              as_of_date=AS_OF, files_per_batch=files_per_batch)
+        query.awaitTermination()
+        _stores[key] = Store(spark, f"{folder}-streamed")
+    return _stores[key]
+
+
 def star_model(spark: SparkSession, sf_dir: str) -> FeatureModel:
     key = _key(spark, sf_dir)
     if key not in _models:
@@ -271,6 +311,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "remittances_in_batches": lambda s, d: _no_raw(
             batch_store(s, d).read("remittance_claims")),
         "updated_claims": updated_claims,
+        "files_claims": lambda s, d: _no_raw(reads.current_claims(file_store(s, d))),
+        "stream_claims": lambda s, d: _no_raw(reads.current_claims(stream_store(s, d))),
         "find_claims_by_number": lambda s, d: _first_found(s, d, "claim_number"),
         "find_claims_by_member": lambda s, d: _first_found(s, d, "patient_member_id"),
         "find_claims_by_file": lambda s, d: _first_found(s, d, "upload_seq"),
