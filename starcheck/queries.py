@@ -70,7 +70,10 @@ def star_store(spark: SparkSession, sf_dir: str, source: Source | None = None) -
 
 
 def edi_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The same files as real ones, a folder each, with times in the order of their numbers."""
+    """The same files as real ones, a folder each, with times in the order of their numbers.
+
+    Numbers that no file has go to files without any segment, so that all others keep theirs.
+    """
     digest = hashlib.sha256("|".join(_key(spark, sf_dir)).encode()).hexdigest()[:16]
     folder = f"{shared_dir(spark)}/edi-{digest}"
     blocks = render(spark, sf_dir).blocks
@@ -79,9 +82,15 @@ def edi_folder(spark: SparkSession, sf_dir: str) -> str:
      .select("upload_seq", "text").write.mode("overwrite").partitionBy("upload_seq").text(folder))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in files.globStatus(hadoop(f"{folder}/upload_seq=*/part-*")):
-        number = int(found.getPath().getParent().getName().split("=")[1])
-        files.setTimes(found.getPath(), 1_700_000_000_000 + number * 1000, -1)
+    paths = {int(found.getPath().getParent().getName().split("=")[1]): found.getPath()
+             for found in files.globStatus(hadoop(f"{folder}/upload_seq=*/part-*"))}
+    for number in range(1, max(paths, default=0) + 1):
+        if number not in paths:   # a file that is none takes a number all the same
+            paths[number] = hadoop(f"{folder}/upload_seq={number}/none.txt")
+            out = files.create(paths[number])
+            out.write(b"none")
+            out.close()
+        files.setTimes(paths[number], 1_700_000_000_000 + number * 1000, -1)
     return folder
 
 
