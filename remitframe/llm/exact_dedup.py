@@ -23,6 +23,9 @@ from remitframe.session import checked_join, checkpointed
 
 # Copies of one text that are compared in one task.
 COPIES_PER_TASK = 20_000
+# Digests, with the locators of their documents, that may be sent to every task (a few hundred
+# bytes each).
+BROADCAST_DIGESTS = 100_000
 
 _STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -116,7 +119,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     # Full bytes of all copies against the document that stays. A large group is divided over
     # several tasks; the one text it is compared with is repeated for each of them.
     parts = F.ceil(F.col("copies") / copies_per_task)
-    hits = checked_join(docs, repeated, "digest", "inner")
+    hits = checked_join(docs, repeated, "digest", "inner", BROADCAST_DIGESTS)
     kept = hits.where(F.col("rank") == F.col("best")).select(
         "digest", F.col("norm").alias("kept_norm"),
         F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
