@@ -17,6 +17,9 @@ from remitframe.session import checked_join
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Of what is left by then, the mixture may take so much. Documents are taken once.
 BUDGET_SHARE = 0.9
+# Dropped rows that may be sent to every task, at most some hundred bytes each; beyond that they meet
+# the documents in a shuffle.
+BROADCAST_DROPPED = 200_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     same = [c.eqNullSafe(dropped[n]) for n, c in (
         ("doc_id", docs["doc_id"]), ("lang", docs["lang"]),
         ("digest", F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))]
-    return checked_join(docs, dropped, same, "left_anti").select(*COLUMNS)
+    return checked_join(docs, dropped, same, "left_anti", BROADCAST_DROPPED).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                      [F.struct(*COLUMNS).alias("row")])
     found = near_dup.near_duplicates(keyed.select("doc", "text"), id_col="doc")
     dropped = staged(found.where("not stays").select(F.col("id").alias("doc")), "dropped")
-    return checked_join(keyed.select("doc", "row"), dropped, "doc", "left_anti").select("row.*")
+    return checked_join(keyed.select("doc", "row"), dropped, "doc", "left_anti",
+                        BROADCAST_DROPPED).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
