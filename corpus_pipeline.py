@@ -17,8 +17,8 @@ from remitframe.session import checked_join
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Of what is left by then, the mixture may take so much. Documents are taken once.
 BUDGET_SHARE = 0.9
-# Dropped rows that may be sent to every task, at most some hundred bytes each; beyond that they meet
-# the documents in a shuffle.
+# Dropped rows that may be sent to every task, at most some hundred bytes each; beyond that they
+# meet the documents in a shuffle.
 BROADCAST_DROPPED = 200_000
 
 

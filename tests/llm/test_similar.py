@@ -219,9 +219,17 @@ def test_stages(spark):
     assert all(whole[p["doc_id"]] == p["doc_tokens"] for p in pieces)
 
 
-def test_stages_with_odd_rows(spark):
-    _, pieces = run_stages(spark, documents(spark, odd_rows()))
-    assert {p["doc_id"] for p in pieces} <= {r[0] for r in odd_rows()}
+def test_stages_with_odd_rows(spark, monkeypatch):
+    found = []
+    for limit in (corpus_pipeline.BROADCAST_DROPPED, 0):   # by broadcast and by shuffle
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_DROPPED", limit)
+        kept, pieces = run_stages(spark, documents(spark, odd_rows()))
+        assert {p["doc_id"] for p in pieces} <= {r[0] for r in odd_rows()}
+        found.append([sorted(map(repr, k)) for k in kept])
+    assert found[0] == found[1]
+    # The rules leave texts of 20 words and more that do not repeat themselves.
+    good = [r for r in odd_rows() if len((r[1] or "").split()) >= 20 and r[0] != -9]
+    assert len(found[0][0]) == len(good)
 
 
 def test_stages_of_nothing(spark):
