@@ -43,9 +43,9 @@ LENGTH = 100
 GRAM = 24
 COVER = 32
 HOT_CONTEXTS = 500_000
-# Text per bucket, in bytes; a bucket is what a task holds at once.
-BUCKET_BYTES = 64 << 20
-# Suffix buckets that a task sorts, one at a time.
+# Text per sorting task, in bytes.
+TASK_BYTES = 64 << 20
+# Buckets that a task sorts, one at a time; it holds one of them at once.
 _BUCKETS_PER_TASK = 16
 # Bytes whose anchors are computed at once.
 _PIECE = 1 << 19
@@ -226,7 +226,7 @@ def _slices(contexts: list[tuple], length: int) -> Iterator[list[tuple]]:
 
 # --- step 1: anchors that occur more than once ---------------------------------------------------
 
-def _repeated_anchors(docs: DataFrame, buckets: int, hot: int, length: int,
+def _repeated_anchors(docs: DataFrame, tasks: int, buckets: int, hot: int, length: int,
                       gram: int) -> DataFrame:
     """Rows with ``doc`` and ``places`` (packed anchors), or with ``hot`` (packed hashes)."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def _repeated_anchors(docs: DataFrame, buckets: int, hot: int, length: int,
                 yield _told([None], [None], [many.tobytes()])
     dealt = docs.mapInArrow(deal, "bucket long, doc long, places binary, hashes binary, "
                             "docs binary, counts binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
         tell, "doc long, places binary, hot binary")
 
 
@@ -462,7 +462,7 @@ def _removed(rows: DataFrame, id_type: str, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    length: int = LENGTH, gram: int | None = None,
                    hot_contexts: int = HOT_CONTEXTS,
-                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                   task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row per document: ``id``, ``removed`` (byte spans) and ``kept`` (the other bytes)."""
     if length <= COVER:
         raise ValueError(f"length must be above {COVER}")
@@ -473,10 +473,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc", F.col("text").cast("binary").alias("text"),
         F.col("id" if "id" in keyed.columns else "doc").alias("id"))
     size = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes),
-                  int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    told = staged(_repeated_anchors(keyed.select("doc", "text"), buckets, hot_contexts, length,
-                                    gram), "anchors")
+    tasks = max(1, -(-size // task_bytes),
+                int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = tasks * _BUCKETS_PER_TASK
+    told = staged(_repeated_anchors(keyed.select("doc", "text"), tasks, buckets, hot_contexts,
+                                    length, gram), "anchors")
     hot = [np.frombuffer(row["hot"], "<u8") for row in
            told.where(F.col("hot").isNotNull()).select("hot").collect()]
     hot_list = np.unique(np.concatenate(hot)) if hot else np.empty(0, np.uint64)
@@ -485,8 +486,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Both joins read the same columns, so the documents are dealt out by key once for both.
     joined = keyed.join(places, "doc").select("doc", "text", "places", "id")
     runs = _sorted_buckets(
-        _contexts(joined, buckets * _BUCKETS_PER_TASK, hot_list, length, gram), buckets,
-        length).groupBy("doc").agg(
+        _contexts(joined, buckets, hot_list, length, gram), tasks, length).groupBy("doc").agg(
         F.collect_list("runs").alias("runs"))
     return _removed(keyed.join(runs, "doc", "left").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias("id"), "text", "runs"),
