@@ -111,6 +111,22 @@ def test_junk_goes_and_prose_stays(spark):
     assert not kept[100] and all(kept[k] for k in range(40)) and kept[101]   # too short to judge
 
 
+def test_menus_go(spark):
+    def menu(k):
+        return " | ".join(w.title() for w in prose(k, 90).split() if w[:-1].isalpha()
+                          or w[0] not in "toia")
+    good = [(k, ". ".join(" ".join(f"the {w} of and" for w in prose(50 * k + s, 5 + k % 4).split())
+                          for s in range(3 + k % 7)), "en", "s") for k in range(80)]
+    menus = [(500 + k, menu(k), "en", "s") for k in range(6)]
+    # Many copies of one menu weigh as one text.
+    copies = [(900 + k, menu(77), "en", "s") for k in range(150)]
+    judged = quality.judge(documents(spark, good + menus + copies)).collect()
+    kept = {r["id"]: r["kept"] for r in judged}
+    assert not any(r["base_failed"] for r in judged)
+    assert all(kept[k] for k in range(80))
+    assert not any(kept[r[0]] for r in menus + copies)
+
+
 def test_quality_of_nothing(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
