@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from remitframe.llm.common import SPACE, staged, text_of
 from remitframe.session import BROADCAST_ROWS, fits_broadcast
 
-RATIO = 0.1
+# Shares of a host's pages; on small hosts the least number of pages is what guards single copies.
+RATIO = 0.01
 MIN_PAGES = 3
 _KEY = "_line_dedup"
 

@@ -55,6 +55,14 @@ def test_lines_of_nothing(spark):
     assert line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_a_line_on_a_few_percent_of_a_large_host(spark):
+    rows = [(k, f"{prose(k, 8)}\n" + ("All rights reserved." if k % 30 == 0 else prose(999 + k, 4)),
+             "en", "large") for k in range(300)]
+    got = line_dedup.drop_boilerplate(documents(spark, rows)).where("n_dropped > 0").collect()
+    assert {r["doc_id"] for r in got} == set(range(0, 300, 30))   # 10 of 300 pages
+    assert all(r["text"] == prose(r["doc_id"], 8) for r in got)
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 def features(text):
