@@ -23,6 +23,9 @@ from remitframe.session import checked_join, checkpointed
 
 # Copies of one text that are compared in one task.
 COPIES_PER_TASK = 20_000
+# Older files than this, counted from the newest one seen, would be skipped by the file source. Its
+# own default is a week; files may come late or keep the times of their originals.
+MAX_FILE_AGE = "365000d"
 # Digests, with the locators of their documents, that may be sent to every task (a few hundred
 # bytes each).
 BROADCAST_DIGESTS = 100_000
@@ -71,7 +74,7 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     """
     checkpoint = checkpoint or scratch(spark, "dedup-state")
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # As a pattern that only this path matches, it may be one file as well as a folder.
@@ -114,7 +117,13 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     state = stream_state(spark, path, id_col, text_col, checkpoint, files_per_batch, digest)
     docs = _located(spark.read.parquet(path), id_col, text_col, digest)
     repeated = checkpointed(state.where("copies > 1"))
-    found = docs.select("digest", "rank").join(state, "digest")
+    # A document that the stream never read may not go missing without a word.
+    missing = F.raise_error(F.concat(F.lit("the state lacks the digest "), F.col("digest"),
+                                     F.lit(" of "), F.col("rank.file")))
+    found = docs.select("digest", "rank").join(
+        state.withColumn("known", F.lit(True)), "digest", "left").select(
+        "digest", "rank", "best", F.when(F.col("known"), F.col("copies")).otherwise(
+            missing.cast("long")).alias("copies"))
 
     # Full bytes of all copies against the document that stays. A large group is divided over
     # several tasks; the one text it is compared with is repeated for each of them.

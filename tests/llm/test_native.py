@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -182,6 +184,32 @@ def test_exact_goes_on_where_it_stopped(spark, tmp_path):
         (5, 5, 2), (1, 5, 2), (6, 7, 2), (7, 7, 2)}
 
 
+def test_exact_reads_files_that_come_late(spark, tmp_path):
+    path, state, late = tmp_path / "docs", f"{tmp_path}/state", 200 * 86400
+    documents(spark, [(5, "a b"), (6, "c")]).coalesce(1).write.parquet(str(path))
+    exact_dedup.exact_dedup(spark, str(path), checkpoint=state).count()
+    before = {*path.glob("*.parquet")}
+    documents(spark, [(1, "ab"), (7, "new")]).coalesce(1).write.mode("append").parquet(str(path))
+    for file in {*path.glob("*.parquet")} - before:
+        os.utime(file, (time.time() - late,) * 2)
+    got = exact_dedup.exact_dedup(spark, str(path), checkpoint=state)
+    assert {(r["id"], r["keep_id"], r["group_size"]) for r in got.collect()} == {
+        (5, 5, 2), (1, 5, 2), (6, 6, 1), (7, 7, 1)}
+
+
+def test_exact_fails_on_a_document_that_is_not_in_the_state(spark, tmp_path, monkeypatch):
+    path, state = tmp_path / "docs", f"{tmp_path}/state"
+    documents(spark, [(5, "a b")]).coalesce(1).write.parquet(str(path))
+    exact_dedup.exact_dedup(spark, str(path), checkpoint=state).count()
+    before = {*path.glob("*.parquet")}
+    documents(spark, [(7, "new")]).coalesce(1).write.mode("append").parquet(str(path))
+    for file in {*path.glob("*.parquet")} - before:
+        os.utime(file, (time.time() - 200 * 86400,) * 2)
+    monkeypatch.setattr(exact_dedup, "MAX_FILE_AGE", "7d")
+    with pytest.raises(Exception, match="the state lacks the digest"):
+        exact_dedup.exact_dedup(spark, str(path), checkpoint=state).collect()
+
+
 def test_exact_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/docs")
     assert exact_dedup.exact_dedup(spark, f"{tmp_path}/docs").count() == 0

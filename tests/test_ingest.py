@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import time
 from datetime import date
 from decimal import Decimal
 
@@ -335,6 +337,18 @@ def test_two_streams_into_one_store(spark, tmp_path):
         "first0", "first1", "second0", "second1"]
 
 
+def test_a_stream_takes_files_that_come_late(spark, tmp_path):
+    store, folder = Store(spark, str(tmp_path / "store")), tmp_path / "in"
+    folder.mkdir()
+    for name, days in (("new", 0), ("late", 200)):
+        file = folder / f"{name}.edi"
+        file.write_text(text("837", f"CLM*{name}*10***11"))
+        os.utime(file, (time.time() - days * 86400,) * 2)
+        stream_ingest(spark, str(folder), store.path, str(tmp_path / "checkpoint"),
+                      as_of_date=AS_OF).awaitTermination()
+    assert {r.claim_number for r in store.read("claims").collect()} == {"new", "late"}
+
+
 def test_codes_are_checked_and_outlive_batches(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     codes = spark.createDataFrame([("pos", "11", "Office"), ("carc", "45", "Charge")],
