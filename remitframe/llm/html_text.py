@@ -6,7 +6,7 @@ predecessors, ``tbody`` and ``tr`` are supplied, stray end tags are ignored, eve
 the end). The tree is then laid out as text:
 
 * elements that show nothing are left out: ``head``, scripts, styles, templates, ``noscript``,
-  embedded objects, hidden inputs, the attribute ``hidden``, ``display:none``,
+  embedded objects other than drawings and formulas, hidden inputs, the attribute ``hidden``, ``display:none``,
   ``visibility:hidden`` or ``collapse`` (children may be ``visible`` again), a closed ``dialog``, and
   all but the summary of closed ``details``;
 * white space collapses except in ``pre`` and ``textarea``; blocks start new lines, and paragraphs,
@@ -14,6 +14,8 @@ the end). The tree is then laid out as text:
 * list items have ``- `` or their number and are indented by depth;
 * table cells are padded to the widest cell of their column and joined by `` | ``; ``colspan``
   and ``rowspan`` keep later cells in their columns;
+* a drawing (``svg``) shows its ``text`` elements and foreign objects, a formula (``math``) all but its
+  annotations; what a ``use`` repeats is not followed;
 * an image shows its ``alt`` text, ``br`` and ``hr`` break lines, form fields show their value.
 
 All visible text is emitted, navigation and footers too: this is rendering, not article detection.
@@ -39,8 +41,17 @@ from remitframe.llm.common import send_by_value, text_of
 send_by_value(__name__)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object embed svg math canvas "
+UNSEEN = frozenset("head script style template noscript iframe object embed canvas "
                    "audio video datalist title meta link base area param source track".split())
+# In drawings these hold what is only shown by reference, or not at all; nothing else but these two
+# holds text that is shown.
+_UNDRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker".split())
+_DRAWN = frozenset(("text", "foreignobject"))
+_GRAPHIC = frozenset("svg g a switch text tspan textpath foreignobject".split())
+_UNREAD = frozenset("annotation annotation-xml mphantom desc".split())
+# Parts of a formula that stand apart, though no white space divides them.
+_APART = frozenset("mfrac msup msub msubsup munder mover munderover mroot mmultiscripts mtable mtr "
+                   "mlabeledtr".split())
 # Blocks that keep an empty line before and after them, and those that only start a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset "
                    "menu dir".split())
@@ -150,6 +161,11 @@ class TreeBuilder(HTMLParser):
         elif tag == "br":
             self.open[-1].children.append(Element("br", {}))
 
+    def unknown_decl(self, data):
+        # Text of a drawing or formula; elsewhere it is a comment.
+        if data.startswith("CDATA[") and self._find({"svg", "math"}, ()):
+            self.handle_data(data[len("CDATA["):])
+
     def handle_data(self, data):
         if self.open[-1].tag == "head":
             if not data.strip():
@@ -178,6 +194,11 @@ def _hides(element: Element) -> tuple[bool, str | None]:
     if element.tag == "dialog" and "open" not in attrs:
         return True, None
     visibility = None
+    if element.tag in _GRAPHIC:   # attributes that a style goes before
+        if (attrs.get("display") or "").strip().lower() == "none" and not re.search(
+                r"(?:^|;)\s*display\s*:", attrs.get("style") or "", re.IGNORECASE):
+            return True, None
+        visibility = (attrs.get("visibility") or "").strip().lower() or None
     for name, value in _DECLARATION.findall(attrs.get("style") or ""):
         if name.lower() == "display":
             if value.lower() == "none":
@@ -187,6 +208,24 @@ def _hides(element: Element) -> tuple[bool, str | None]:
     return False, visibility
 
 
+def _drawn(drawing: Element, shown: bool) -> Iterator[tuple[Element, bool]]:
+    """What a drawing shows as text, in order, and whether it is visible."""
+    left = [(drawing, shown)]
+    while left:
+        node, shown = left.pop()
+        if isinstance(node, str) or node.tag in _UNDRAWN:
+            continue
+        gone, visibility = _hides(node)
+        if gone:
+            continue
+        if node.tag in _DRAWN:
+            yield node, shown
+            continue
+        if visibility:
+            shown = visibility not in ("hidden", "collapse")
+        left.extend((child, shown) for child in reversed(node.children))
+
+
 class _Lines:
     """Text under construction: collapses white space and spaces blocks."""
 
@@ -291,9 +330,12 @@ def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
             cells = []
             for c in used:
                 lines = row.get(c, ())
-                text = lines[k] if k < len(lines) else ""
-                cells.append(text + " " * max(0, widths[c] - _width(text)))
-            out.append(" | ".join(cells).rstrip(" |"))
+                cells.append(lines[k] if k < len(lines) else "")
+            while cells and not cells[-1]:
+                cells.pop()
+            # The last cell is not padded, so what it ends in is its own.
+            out.append(" | ".join([text + " " * max(0, widths[c] - _width(text))
+                                   for c, text in zip(used, cells[:-1])] + cells[-1:]))
     return out
 
 
@@ -344,6 +386,18 @@ def render(page: str | None) -> str:
         if raw and tag == "pre" and children and isinstance(children[0], str):
             children = [children[0].removeprefix("\n"), *children[1:]]
         close = None
+        if tag == "svg":
+            # Each piece stands for itself.
+            steps.append(_apart)
+            for piece, visible in reversed([*_drawn(node, shown)]):
+                steps.extend(((piece, visible, False), _apart))
+            continue
+        if tag in _UNREAD:
+            continue
+        if tag == "tspan" and node.attrs.keys() & {"x", "y", "dx", "dy"}:
+            out.space = True
+        if tag in _APART:
+            children = [part for c in children for part in (" ", c)] + [" "]
         if tag == "table":
             out.block(True)
             tables.append(_Table(out))
@@ -381,6 +435,11 @@ def render(page: str | None) -> str:
     return out.done()
 
 
+def _apart(out: _Lines) -> _Lines:
+    out.space = True
+    return out
+
+
 def _close_block(out: _Lines) -> _Lines:
     out.block(False)
     return out

@@ -271,6 +271,24 @@ def test_no_visible_word_is_lost(tags):
     assert sorted(found) == sorted(f"w{k}x" for k in range(len(tags)))
 
 
+@pytest.mark.parametrize("page,text", [
+    ("a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g><text>b<tspan x=1>c</tspan>"
+     "</text></g><path/>stray</svg>d", "a b c d"),
+    ("<svg><text visibility=hidden>a<tspan visibility=visible>b</tspan></text><text display=none>c"
+     "</text><foreignObject><p>e</p></foreignObject></svg>", "b\n\ne"),
+    ("<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow>"
+     "<annotation>no</annotation></semantics></math>", "x= 1 2"),
+    ("<svg><text><![CDATA[a < b]]></text></svg>", "a < b"),
+])
+def test_drawings_and_formulas(page, text):
+    assert html_text.render(page) == text
+
+
+def test_cells_keep_their_bars():
+    assert html_text.render("<table><tr><td>a<td>|<tr><td>b<td>c |<tr><td>d<td></table>") == (
+        "a | |\nb | c |\nd")
+
+
 def test_deep_pages():
     assert html_text.render("<div>" * 50_000 + "deep") == "deep"
 
