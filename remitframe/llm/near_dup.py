@@ -1,10 +1,11 @@
-"""Near duplicates by n-gram Jaccard similarity: a MinHash LSH forest with exact verification.
+"""Near duplicates by n-gram Jaccard similarity: MinHash banding with exact verification.
 
 A text's set holds the hashes of its runs of ``NGRAM`` words (one run of all words if it has fewer).
-Texts with equal sets are copies and form a class that is represented once. A forest of ``trees``
-prefix tries over MinHash signatures proposes candidates: in a tree, representatives that share a
-prefix of their signature meet. The prefix starts at ``max_depth`` values and is shortened until a
-pair at the threshold meets in some tree with the target recall; with that depth every more similar
+Texts with equal sets are copies and form a class that is represented once. In each of
+``trees`` bands of MinHash values, called trees here, representatives with equal values meet and are
+candidates. A band has the most values, up to ``max_depth``, with which a pair at the threshold meets
+in some tree with the target recall; this is settled before any row is read, and there are no prefix
+tries as in an LSH forest, the method that was asked for. With that depth every more similar
 pair meets with a higher chance. Candidates are verified on their whole sets.
 
 No pair is ever a row. A group that meets in a tree is verified in one task as a matrix product;
