@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from remitframe.llm import line_dedup, quality, queries
+from remitframe.llm import fill_middle, filter_audit, line_dedup, quality, queries
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -198,7 +198,73 @@ FROM classes LEFT JOIN roots ON roots.node = copy_of LEFT JOIN degree ON degree.
 """
 
 
+FILL_MIDDLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+                  sha256('{fill_middle.SEED}:' || doc_id::VARCHAR) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '{SPACE}*[^\x20\x09-\x0D]+|{SPACE}+') AS units,
+             [('0x' || h[8 * k + 1:8 * k + 8])::BIGINT FOR k IN range(4)] AS hs FROM d),
+c AS (SELECT *, len(units) AS n, least(hs[1] % (len(units) + 1), hs[2] % (len(units) + 1)) AS a,
+             greatest(hs[1] % (len(units) + 1), hs[2] % (len(units) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                       OR contains(text, '<M>') OR hs[3] % 100 >= {fill_middle.CHANGED_PERCENT}
+                  THEN 'plain' WHEN hs[4] % 100 < {fill_middle.SPM_PERCENT} THEN 'spm'
+                  ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix,
+             array_to_string(units[a + 1:b], '') AS middle,
+             array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM p
+"""
+
+FILTER_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good,
+             bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {{
+             'A': len(words) < {filter_audit.MIN_WORDS},
+             'B': 100 * len(list_distinct(words))
+                  < {filter_audit.MIN_DISTINCT_PERCENT} * len(words),
+             'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g'))
+                  > {filter_audit.MAX_CAPITALS_PERCENT} * length(text),
+             'D': regexp_matches(text, '[#$%&*|]'),
+             'E': doc_id > first_id}} AS failed
+      FROM w LEFT JOIN l USING (doc_id)),
+kinds AS (SELECT part, good, toxic, failed, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+           FROM x a, x b, x c, x d, x e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own,
+                 string_split(filter_order[1:step - 1], '') AS earlier,
+                 string_split(replace('ABCDE', filter_order[step], ''), '') AS others
+          FROM orders, range(1, 6) AS r(step)),
+s AS (SELECT part, filter_order, step, own, good, toxic, n, failed[own] AS fails,
+             step > 1 AND list_bool_or([failed[e] FOR e IN earlier]) AS gone,
+             list_bool_or([failed[e] FOR e IN others]) AS elsewhere FROM kinds, steps),
+t AS (SELECT part, filter_order, step, own,
+             sum(n) FILTER (NOT gone AND NOT fails) AS kept,
+             sum(n) FILTER (NOT gone AND fails) AS removed,
+             sum(n) FILTER (gone AND fails) AS redundant,
+             sum(n) FILTER (fails AND NOT elsewhere) AS unique_fails,
+             sum(n) FILTER (NOT gone AND fails AND good) AS good_lost,
+             sum(n) FILTER (NOT gone AND fails AND toxic) AS toxic_lost
+      FROM s GROUP BY ALL)
+SELECT part, filter_order, step, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in (
+    "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+       coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": LINE_DEDUP, "op4_quality": quality_sql(),
             "op5_exact_dedup": EXACT_DEDUP, "op6_near_dup": NEAR_DUP,
-            "op7_mixing": mixing_sql(), "op8_warc": WARC}
+            "op7_mixing": mixing_sql(), "op8_warc": WARC,
+            "op12_fill_middle": FILL_MIDDLE, "op13_filter_audit": FILTER_AUDIT}

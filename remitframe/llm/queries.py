@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitframe.llm import (
-    exact_dedup, html_text, line_dedup, mixing, near_dup, packing, quality,
-    secret_scan, suffix_dedup, warc_zip)
+    best_fit, exact_dedup, fill_middle, filter_audit, html_text, line_dedup, mixing, near_dup,
+    packing, quality, secret_scan, suffix_dedup, warc_zip)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,27 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "page_id")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few sequences of at most 2048 tokens, with the public word vocabulary."""
+    import public_tokenizers
+    return best_fit.pack_best_fit(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed(
+        "id", "doc_id")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the texts in their new order, and of the texts rebuilt from them."""
+    return fill_middle.fill_middle(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir),
+                              spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -118,6 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_html": op10_html,
+        "op11_best_fit": op11_best_fit,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
