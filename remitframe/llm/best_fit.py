@@ -44,24 +44,37 @@ OPEN_BINS = 64
 TASK_TOKENS = 8_000_000
 END_ID = 0
 # Blank-free strings whose ids a task keeps, and the longest of them in bytes.
-_REMEMBERED, _LONGEST = 500_000, 64
+_REMEMBERED, _LONGEST = 800_000, 64
 # Bytes of text that are split at once, and rows that are sent on at once.
 _AT_ONCE, _ROWS = 1_000_000, 4096
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
+# Letters with one lower-case form and one spelling, and ASCII punctuation behind them; an apostrophe
+# could start a word's ending.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+# Byte-level vocabularies write each byte as a visible character: itself, or one from U+0100 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: 0x100 + k for k, b in enumerate(sorted(set(range(0x100)) - set(_VISIBLE)))}
 
 
-class Tokens:
-    """Ids of texts by a ``tokenizers`` file, four bytes each."""
+class Tokens(dict):
+    """Ids of texts by a ``tokenizers`` file, four bytes each.
+
+    The entries are those of blank-free strings. A string of simple letters and the punctuation behind
+    them are words of their own, so they go to the model directly, each once; any other string takes
+    the tokenizer's full way.
+    """
 
     def __init__(self, tokenizer_file: str):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # tasks share the cores already
+        super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self._of_part, self._parts(text.encode())))
+        # Bytes are split at just the blanks of the contracts.
+        return b"".join([ids for part in self._parts(text.encode())
+                         for ids in map(self.__getitem__, part.split())])
 
     @staticmethod
     def _parts(text: bytes) -> Iterator[bytes]:
@@ -73,17 +86,34 @@ class Tokens:
             yield text[start:end]
             start = end
 
-    def _of_part(self, part: bytes) -> bytes:
-        words = part.split()   # at just the blanks of the contracts
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known = {}
-            new = list(set(words))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new],
-                                                 add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
-        self.known.update((w, i) for w, i in ids.items() if len(w) <= _LONGEST)
-        return b"".join([self.known[w] if len(w) <= _LONGEST else ids[w] for w in words])
+    def __missing__(self, string: bytes) -> bytes:
+        if len(self) + len(self.words) >= _REMEMBERED:
+            self.clear()
+            self.words.clear()
+        text = string.decode()
+        simple = _SIMPLE.fullmatch(text)
+        if simple:
+            ids = self._word(simple[1].lower())
+            if simple[2]:
+                ids += self._word(simple[2])
+        else:
+            ids = self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(string) <= _LONGEST:
+            self[string] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word.encode().decode("latin-1").translate(_SHOWN)
+            ids = self._ids([token.id for token in self.model.tokenize(shown)])
+            if len(word) <= _LONGEST:
+                self.words[word] = ids
+        return ids
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
 
 class OpenBins:

@@ -30,7 +30,8 @@ def plain_ids(text):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(
     ["it's", " ", "\n", "\v", "\x1c", "\x85", "\xa0", "　", "é", "́", "İ", "ΣΑΣ",
-     "<|endoftext|>", "<|startoftext|", ">", "12a3", "...", "漢字", "𝒳", "word", "'ll", "\0"])))
+     "<|endoftext|>", "<|startoftext|", ">", "12a3", "Word", ",", "-_", "'s", "<|ENDOFTEXT|>",
+     "Éà", "ß", "ÿ", "×", "ª", "ı", "...", "漢字", "𝒳", "word", "'ll", "\0"])))
 def test_ids_are_those_of_the_tokenizer(parts):
     text = "".join(parts)
     tokens = test_ids_are_those_of_the_tokenizer.__dict__.setdefault(
