@@ -16,8 +16,8 @@ few (the logarithm of the input), the last task is bounded by ``task_tokens``, a
 batch. Each round is staged, so a lost executor repeats tasks of one round only.
 
 Token ids are those of the tokenizer file. Its words never reach across the white space of the
-contracts, so a text is the sequence of its blank-free strings, each tokenised once a task and
-remembered (as many as ``_REMEMBERED``, then anew).
+contracts, so a text is the sequence of its blank-free strings, each tokenised once by a Python
+worker and remembered (as many as ``_REMEMBERED``, then anew).
 
 Defined results: a null or empty text has the end id alone; repeated rows and ids are packed each; an
 empty table gives an empty result; other columns are not read.
@@ -26,9 +26,11 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ LENGTH = 2048
 OPEN_BINS = 64
 TASK_TOKENS = 8_000_000
 END_ID = 0
-# Blank-free strings whose ids a task keeps, and the longest of them in bytes.
-_REMEMBERED, _LONGEST = 800_000, 64
+# Strings and words whose ids a Python worker keeps (some 200 MB), and the longest of them.
+_REMEMBERED, _LONGEST = 1_000_000, 64
 # Bytes of text that are split at once, and rows that are sent on at once.
 _AT_ONCE, _ROWS = 1_000_000, 4096
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -73,8 +75,8 @@ class Tokens(dict):
 
     def of(self, text: str) -> bytes:
         # Bytes are split at just the blanks of the contracts.
-        return b"".join([ids for part in self._parts(text.encode())
-                         for ids in map(self.__getitem__, part.split())])
+        return b"".join([b"".join(map(self.__getitem__, part.split()))
+                         for part in self._parts(text.encode())])
 
     @staticmethod
     def _parts(text: bytes) -> Iterator[bytes]:
@@ -116,6 +118,14 @@ class Tokens(dict):
         return np.array(ids, "<u4").tobytes()
 
 
+def kept_tokens(tokenizer_file: str) -> Tokens:
+    """A Python worker serves many tasks; what it has learnt is kept for the next one."""
+    kept = sys.modules.setdefault("remitframe_kept_tokens", ModuleType("remitframe_kept_tokens"))
+    if getattr(kept, "file", None) != tokenizer_file:
+        kept.file, kept.tokens = tokenizer_file, Tokens(tokenizer_file)
+    return kept.tokens
+
+
 class OpenBins:
     """Bins with room, at most ``limit`` of them, found by the least space that suffices."""
 
@@ -214,7 +224,7 @@ def pack_best_fit(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
         return (round_number << 56) | (TaskContext.get().partitionId() << 32)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
-        tokens = Tokens(tokenizer_file)
+        tokens = kept_tokens(tokenizer_file)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for row, text in zip(batch.column(0), batch.column(1), strict=True):
