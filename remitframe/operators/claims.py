@@ -1,7 +1,8 @@
 """Submission (837) segments -> claims, service lines and diagnoses.
 
 Input is the annotated segment frame of ``scan.apply_carry``; every entity already knows its
-owner and number, so lines and diagnoses need no shuffle except for the dates.
+owner, number and date, so claims, lines and diagnoses need no shuffle. ``late`` holds the few facts that
+come in a later chunk than their owner (``late_facts``); it is broadcast while it is small.
 """
 
 from __future__ import annotations
@@ -24,50 +25,55 @@ def element(i: int):
     return safe_element(F.col("elements"), i)
 
 
-def service_dates(annotated: DataFrame, owners: tuple[str, ...]) -> DataFrame:
-    """Last good service date per owning segment: ``upload_seq, target, service_date``.
+def late_facts(annotated: DataFrame) -> DataFrame:
+    """Dates and control numbers of owners in an earlier chunk: ``upload_seq, kind, target, day,
+    control_no``, the last one of each kind per owner, so at most a few rows a chunk.
 
-    A DTP*472 belongs to the last good CLM, HI or SV1 before it. After CLM or HI it dates the
-    open claim, after SV1 that line.
+    A DTP*472 belongs to the last good CLM, HI or SV1 before it: after CLM or HI it dates the open
+    claim, after SV1 that line. A REF*F8 belongs to the open claim, a DTM*050 to the open remittance.
     """
-    dated = of_family(annotated, "DTP").where(
-        (F.col("file_type") == "edi_837") & F.col("owner").isin(*owners)
-        & (element(1) == "472")).select(
-        "upload_seq", "seg_pos", safe_date(element(3)).alias("day"),
-        F.when(F.col("owner") == "SV1", F.col("owner_pos")).otherwise(F.col("claim_pos"))
-        .alias("target"))
-    return dated.where("day is not null").groupBy("upload_seq", "target").agg(
-        F.max_by("day", "seg_pos").alias("service_date"))
-
-
-def prior_control_numbers(annotated: DataFrame) -> DataFrame:
-    """Last non-blank REF*F8 of each claim: ``upload_seq, target, control_no``."""
-    return of_family(annotated, "REF").where(
-        (element(1) == "F8") & (element(2) != "") & F.col("claim_pos").isNotNull()).groupBy(
-        "upload_seq", F.col("claim_pos").alias("target")).agg(
-        F.max_by(element(2), F.col("seg_pos")).alias("control_no"))
-
-
-def claim_rows(annotated: DataFrame) -> DataFrame:
-    """Good CLM segments as claims, before dates and control numbers are joined on."""
+    nothing = F.lit(None)
+
+    def of_kind(family, kind, target, day, control_no):
+        return of_family(annotated, family).where("loose").select(
+            "upload_seq", F.lit(kind).alias("kind"), target.alias("target"), "seg_pos",
+            day.cast("date").alias("day"), control_no.cast("string").alias("control_no"))
+    served = F.when(F.col("owner") == "SV1", F.col("owner_pos")).otherwise(F.col("claim_pos"))
+    loose = of_kind("DTP", "service", F.when(F.col("owner").isNotNull(), served),
+                    safe_date(element(3)), nothing).unionByName(
+        of_kind("REF", "control", F.col("claim_pos"), nothing, element(2))).unionByName(
+        of_kind("DTM", "remit", F.col("remit_pos"), safe_date(element(2)), nothing))
+    last = F.max_by(F.struct("day", "control_no"), "seg_pos").alias("last")
+    return loose.where("target is not null").groupBy("upload_seq", "kind", "target").agg(
+        last).select("upload_seq", "kind", "target", "last.*")
+
+
+def with_late(rows: DataFrame, late: DataFrame, kind: str, column: str, late_column: str) -> DataFrame:
+    """``column`` with what a later chunk says, which is the last word."""
+    side = late.where(F.col("kind") == kind).select(
+        "upload_seq", F.col("target").alias("seg_pos"), F.col(late_column).alias("_late"))
+    return rows.join(side, ["upload_seq", "seg_pos"], "left").withColumn(
+        column, F.coalesce("_late", column)).drop("_late")
+
+
+def claim_rows(annotated: DataFrame, late: DataFrame) -> DataFrame:
+    """Good CLM segments as claims."""
     parts = split_composite(element(5), F.col("component_sep"))
-    return of_family(annotated, "CLM").where("clm_ok").select(
+    rows = of_family(annotated, "CLM").where("clm_ok").select(
         "upload_seq", "seg_pos", "claim_id", element(1).alias("claim_number"),
         "payer_name", "patient_member_id",
         safe_decimal(element(2)).alias("total_charge_amount"),
         F.get(parts, F.lit(0)).alias("facility_type_code"),
         F.get(parts, F.lit(2)).alias("frequency_code"),
+        F.col("own_day").alias("service_date"),
+        F.col("own_control").alias("previous_payer_claim_control_no"),
         F.col("raw_segment_text").alias("raw_claim_segment"))
+    return with_late(with_late(rows, late, "service", "service_date", "day"), late, "control",
+                     "previous_payer_claim_control_no", "control_no")
 
 
-def claims_837(annotated: DataFrame, as_of_date: str | None = None) -> DataFrame:
-    key = [F.col("c.upload_seq") == F.col("x.upload_seq"), F.col("c.seg_pos") == F.col("x.target")]
-    claims = claim_rows(annotated)
-    dated = claims.alias("c").join(service_dates(annotated, ("CLM", "HI")).alias("x"), key,
-                                   "left").select("c.*", "x.service_date")
-    full = dated.alias("c").join(prior_control_numbers(annotated).alias("x"), key, "left")
-    return full.select(
-        "c.*", F.col("x.control_no").alias("previous_payer_claim_control_no")).select(
+def claims_837(annotated: DataFrame, late: DataFrame, as_of_date: str | None = None) -> DataFrame:
+    return claim_rows(annotated, late).select(
         "*", F.coalesce("service_date", as_of(as_of_date)).alias("service_from_date"),
         F.col("service_date").alias("service_to_date"),
         F.lit(False).alias("is_placeholder")).drop("service_date", "seg_pos")
@@ -88,14 +94,12 @@ def line_rows(annotated: DataFrame) -> DataFrame:
         units.alias("units"),
         safe_decimal(element(2)).alias("billed_amount"),
         F.nullif(element(5), F.lit("")).alias("place_of_service"),
+        F.col("own_day").alias("service_date"),
         F.col("raw_segment_text").alias("raw_sv1_segment"))
 
 
-def claim_lines(annotated: DataFrame) -> DataFrame:
-    key = [F.col("c.upload_seq") == F.col("x.upload_seq"), F.col("c.seg_pos") == F.col("x.target")]
-    return line_rows(annotated).alias("c").join(
-        service_dates(annotated, ("SV1",)).alias("x"), key, "left").select(
-        "c.*", "x.service_date").drop("seg_pos")
+def claim_lines(annotated: DataFrame, late: DataFrame) -> DataFrame:
+    return with_late(line_rows(annotated), late, "service", "service_date", "day").drop("seg_pos")
 
 
 def diagnoses(annotated: DataFrame) -> DataFrame:

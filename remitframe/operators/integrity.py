@@ -9,7 +9,7 @@ from remitframe.contracts import WIDTHS
 from remitframe.functions.edi import (
     adjustment_entries, diagnosis_entries, is_zero, overflows, split_composite,
 )
-from remitframe.operators.claims import claim_rows, element, of_family, prior_control_numbers
+from remitframe.operators.claims import claim_rows, element, of_family
 
 
 def _wide(table: str, column: str, text: Column) -> Column:
@@ -76,7 +76,7 @@ def _row_rule() -> Column:
             .when(name == "LQ", _wide("remark_codes", "remark_code", remark)))
 
 
-def violations(annotated: DataFrame, catalogue: DataFrame) -> DataFrame:
+def violations(annotated: DataFrame, catalogue: DataFrame, late: DataFrame) -> DataFrame:
     """Every broken rule: ``upload_seq, seg_pos, reason``."""
     name = F.col("segment_name")
     makes_row = (F.col("clm_ok") | F.col("sv1_ok") | F.col("clp_ok")
@@ -85,20 +85,17 @@ def violations(annotated: DataFrame, catalogue: DataFrame) -> DataFrame:
     by_row = annotated.where("raw_rule is not null or row_rule is not null").select(
         "upload_seq", "seg_pos",
         F.coalesce("raw_rule", F.when(makes_row, F.col("row_rule"))).alias("reason"))
-    carried = of_family(annotated, "CLM").where("clm_ok").select(
-        "upload_seq", "seg_pos", F.coalesce(
-            _wide("claims", "payer_name", F.col("payer_name")),
-            _wide("claims", "patient_member_id", F.col("patient_member_id"))).alias("reason"))
-    control = prior_control_numbers(annotated).select(
-        "upload_seq", F.col("target").alias("seg_pos"),
-        _wide("claims", "previous_payer_claim_control_no", F.col("control_no")).alias("reason"))
+    claims = claim_rows(annotated, late)
+    carried = claims.select("upload_seq", "seg_pos", F.coalesce(*[
+        _wide("claims", c, F.col(c)) for c in (
+            "payer_name", "patient_member_id", "previous_payer_claim_control_no")]).alias("reason"))
     header = catalogue.select("upload_seq", F.lit(0).alias("seg_pos"), F.coalesce(*[
         _wide("edi_files", c, F.col(c)) for c in WIDTHS["edi_files"]]).alias("reason"))
-    repeated = claim_rows(annotated).groupBy("upload_seq", "claim_number").agg(
+    repeated = claims.groupBy("upload_seq", "claim_number").agg(
         F.count(F.lit(1)).alias("n"), F.max("seg_pos").alias("seg_pos")).where("n > 1").select(
         "upload_seq", "seg_pos",
         F.lit("duplicate key (edi_file_id, claim_number) in claims").alias("reason"))
-    found = by_row.unionByName(carried).unionByName(control).unionByName(header).unionByName(repeated)
+    found = by_row.unionByName(carried).unionByName(header).unionByName(repeated)
     return found.where("reason is not null")
 
 

@@ -5,33 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitframe.functions.edi import adjustment_entries, as_of, entity_id, safe_date, safe_decimal
-from remitframe.operators.claims import element, of_family
+from remitframe.functions.edi import adjustment_entries, as_of, entity_id, safe_decimal
+from remitframe.operators.claims import element, of_family, with_late
 
 
 def remittance_rows(annotated: DataFrame) -> DataFrame:
-    """Good CLP segments, dated by the last DTM*050 before them."""
+    """Good CLP segments, dated by the last DTM*050 before them (``remit_day``) and the last one inside
+    them (``override``)."""
     paid = safe_decimal(element(4))
     return of_family(annotated, "CLP").where("clp_ok").select(
         "upload_seq", "seg_pos", "remittance_claim_id", element(1).alias("claim_number"),
         element(2).alias("claim_status_code"), safe_decimal(element(3)).alias("billed_amount"),
         F.coalesce(paid, F.lit(0).cast("decimal(12,2)")).alias("paid_amount"),
         F.nullif(element(7), F.lit("")).alias("payer_claim_control_number"), "remit_day",
+        F.col("own_remit_day").alias("override"),
         F.col("raw_segment_text").alias("raw_clp_segment"))
 
 
-def date_overrides(annotated: DataFrame) -> DataFrame:
-    """Last DTM*050 inside each remittance: ``remittance_claim_id, override``."""
-    dtm = of_family(annotated, "DTM").where(
-        F.col("remittance_claim_id").isNotNull() & (element(1) == "050")).select(
-        "remittance_claim_id", "seg_pos", safe_date(element(2)).alias("day"))
-    return dtm.where("day is not null").groupBy("remittance_claim_id").agg(
-        F.max_by("day", "seg_pos").alias("override"))
-
-
-def remittances(annotated: DataFrame, as_of_date: str | None = None) -> DataFrame:
-    rows = remittance_rows(annotated).join(date_overrides(annotated), "remittance_claim_id",
-                                           "left")
+def remittances(annotated: DataFrame, late: DataFrame,
+                as_of_date: str | None = None) -> DataFrame:
+    rows = with_late(remittance_rows(annotated), late, "remit", "override", "day")
     return rows.withColumn("remittance_date",
                            F.coalesce("override", "remit_day", as_of(as_of_date))
                            ).drop("override", "remit_day", "seg_pos")

@@ -1,14 +1,26 @@
 """Carried state over ordered segments, as a two-level scan.
 
 A file's meaning depends on order: payer and member carry forward, a claim owns what follows it,
-lines are numbered. A window per file would put a huge file in one task. So the windows run per
-chunk of a file, one row per chunk sums up the state at its end, a window over those few rows
-gives the state at each chunk's start, and the two are put together per segment. Every carried
-value is "last non-null" or a sum, so the result is exact.
+lines are numbered. A window per file would put a huge file in one task, and any window would sort
+and shuffle the text of all segments. But segments come out of their blocks in order already. So one pass
+over the rows of a task, column by column in Arrow batches, gives each segment the state within its
+chunk; one row per chunk sums up the state at its end, a window over those few rows gives the state
+at each chunk's start, and the two are put together per segment. Every carried value is "last non-null"
+or a sum, so the result is exact. The text of segments is never shuffled or sorted.
+
+What belongs to an earlier segment (a service date to its line) is handed back to it in the same pass.
+Only where the owner lies in an earlier chunk the segment is ``loose`` and meets it by a join; there is
+at most one owner of each kind per chunk.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,52 +28,165 @@ from remitframe.functions.edi import entity_id
 from remitframe.operators.segments import with_elements
 from remitframe.session import BROADCAST_ROWS, fits_broadcast
 
+# Tasks get these functions with their code: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _KEYS = ["upload_seq", "chunk"]
 
+# What a chunk's rows need to be put in their state.
+_FACTS = ("clm_ok", "sv1_ok", "dx_count", "clp_ok", "payer_set", "member_set", "remit_day",
+          "service_day", "control_no", "st_type", "own_number")
+# Names of segments that read a carried value; elsewhere it is kept only at the chunk's end.
 _READ_ON = {
-    ("CLM",): ["l_payer", "l_member"],
-    ("SV1",): ["l_claim_number", "sv1_cum", "l_sv1_base"],
-    ("HI",): ["dx_cum", "l_dx_base"],
-    ("CLP",): ["l_remit_day"],
-    ("DTP",): ["l_owner", "l_owner_ln"],
+    "CLM": ("l_payer", "l_member"),
+    "SV1": ("l_claim_number", "sv1_cum", "l_sv1_base"),
+    "HI": ("dx_cum", "l_dx_base"),
+    "CLP": ("l_remit_day",),
+    "DTP": ("l_owner", "l_owner_ln"),
 }
+_STATE = ("ln int, is_last boolean, chunk_type string, sv1_cum long, dx_cum long, l_payer string, "
+          "l_member string, l_remit_day date, l_claim_number string, l_claim_ln int, "
+          "l_remit_ln int, l_owner_ln int, l_owner string, l_sv1_base long, l_dx_base long, "
+          "own_day date, own_control string, own_remit_day date, loose boolean")
+# Columns that nothing needs behind the scan.
+_USED_UP = ("idx", "block_seq", "payer_set", "member_set", "remit_day", "service_day", "control_no",
+            "st_type", "own_number")
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    return column.fill_null(False).to_numpy(zero_copy_only=False)
+
+
+class _Chunks:
+    """Rows of whole chunks, one after the other, with the state of each row in its chunk."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows, self.n = rows, rows.num_rows
+        keys = [rows[k].to_numpy() for k in _KEYS]
+        changed = np.zeros(self.n, bool)
+        changed[:1] = True
+        for key in keys:
+            changed[1:] |= key[1:] != key[:-1]
+        self.starts = np.flatnonzero(changed)
+        self.first = self.starts[np.cumsum(changed) - 1]      # of each row's chunk
+        self.place = np.arange(self.n)
+        self.is_last = np.append(changed[1:], True)
+
+    def last_place(self, flags: np.ndarray) -> np.ndarray:
+        """The last row up to each one, in its chunk, with the flag; -1 without."""
+        found = np.maximum.accumulate(np.where(flags, self.place, -1))
+        return np.where(found >= self.first, found, -1)
+
+    def running(self, values: np.ndarray) -> np.ndarray:
+        total = np.cumsum(values)
+        return total - (total - values)[self.first]
+
+    def taken(self, values: pa.Array, places: np.ndarray, wanted: np.ndarray) -> pa.Array:
+        return values.take(pa.array(places, mask=(places < 0) | ~wanted))
+
+    def handed_back(self, values: pa.Array, owners: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """For each row the last value that it owns, and which values have no owner here."""
+        given = values.is_valid().to_numpy(zero_copy_only=False)
+        source = np.full(self.n, -1)
+        here = given & (owners >= 0)
+        source[owners[here]] = self.place[here]    # of several, the last one stays
+        return values.take(pa.array(source, mask=source < 0)), given & (owners < 0)
+
+    def state(self) -> dict[str, pa.Array]:
+        column = {c: self.rows[c].combine_chunks() for c in (*_FACTS, "segment_name")}
+        name = column["segment_name"].to_numpy(zero_copy_only=False)
+        clm, sv1, clp = (_flags(column[c]) for c in ("clm_ok", "sv1_ok", "clp_ok"))
+        ln = pa.array(self.place - self.first + 1, pa.int32())
+        sv1_cum = self.running(sv1.astype(np.int64))
+        dx_cum = self.running(column["dx_count"].fill_null(0).to_numpy().astype(np.int64))
+        wanted = {c: self.is_last.copy() for read in _READ_ON.values() for c in read}
+        for segment, read in _READ_ON.items():
+            here = name == segment
+            for c in read:
+                wanted[c] |= here
+        always = np.ones(self.n, bool)
+        claim, remit = self.last_place(clm), self.last_place(clp)
+        owner = self.last_place(clm | sv1 | (name == "HI"))
+        typed = np.where(column["st_type"].is_valid().to_numpy(zero_copy_only=False), self.place,
+                         self.n)
+        first_type = np.minimum.reduceat(typed, self.starts)[
+            np.searchsorted(self.starts, self.first)]
+        # A date behind a line is the line's, one behind a claim or its diagnoses the claim's.
+        dated = np.where((owner >= 0) & (name[owner] != "SV1"), claim, owner)
+        own_day, day_loose = self.handed_back(column["service_day"], dated)
+        own_control, control_loose = self.handed_back(column["control_no"], claim)
+        own_remit_day, remit_loose = self.handed_back(column["remit_day"], remit)
+        sums = {"sv1_cum": pa.array(sv1_cum), "dx_cum": pa.array(dx_cum)}
+
+        def last(fact, carried):
+            valid = column[fact].is_valid().to_numpy(zero_copy_only=False)
+            return self.taken(column[fact], self.last_place(valid), wanted[carried])
+        return {
+            "ln": ln, "is_last": pa.array(self.is_last),
+            "chunk_type": column["st_type"].take(pa.array(
+                first_type, mask=first_type == self.n)),
+            **{c: self.taken(v, self.place, wanted[c]) for c, v in sums.items()},
+            "l_payer": last("payer_set", "l_payer"), "l_member": last("member_set", "l_member"),
+            "l_remit_day": last("remit_day", "l_remit_day"),
+            "l_claim_number": self.taken(column["own_number"], claim, wanted["l_claim_number"]),
+            "l_claim_ln": self.taken(ln, claim, always), "l_remit_ln": self.taken(ln, remit, always),
+            "l_owner_ln": self.taken(ln, owner, wanted["l_owner_ln"]),
+            "l_owner": self.taken(column["segment_name"], owner, wanted["l_owner"]),
+            "l_sv1_base": self.taken(sums["sv1_cum"], claim, wanted["l_sv1_base"]),
+            "l_dx_base": self.taken(sums["dx_cum"], claim, wanted["l_dx_base"]),
+            "own_day": own_day, "own_control": own_control, "own_remit_day": own_remit_day,
+            "loose": pa.array(day_loose | control_loose | remit_loose),
+        }
+
+
+def whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task in tables that never end within a chunk."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # The last chunk of a batch may go on in the next one.
+        cut = batch.num_rows - 1
+        keys = [batch[k].to_numpy() for k in _KEYS]
+        same = np.logical_and.reduce([k == k[-1] for k in keys])
+        cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+        goes_on = held and all(held[-1][k][-1] == batch[k][0] for k in _KEYS)
+        if cut or (held and not goes_on):
+            yield from _table([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    yield from _table(held)
+
+
+def _table(batches: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+    if any(b.num_rows for b in batches):
+        yield pa.Table.from_batches(batches)
 
 
 def local_scan(marked: DataFrame) -> DataFrame:
-    """Running state within each chunk. All windows share one exchange and one sort."""
-    order = Window.partitionBy(*_KEYS).orderBy("block_seq", "idx")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """Running state within each chunk.
 
-    def last(value):
-        return F.last(value, ignorenulls=True).over(run)
-    ln = F.row_number().over(order)
-    numbered = marked.withColumns({
-        "ln": ln,
-        "is_last": F.lead(F.lit(1)).over(order).isNull(),
-        "chunk_type": F.first("st_type", ignorenulls=True).over(whole),
-        "sv1_cum": F.sum(F.col("sv1_ok").cast("long")).over(run),
-        "dx_cum": F.sum(F.col("dx_count").cast("long")).over(run),
-        "l_payer": last(F.col("payer_set")),
-        "l_member": last(F.col("member_set")),
-        "l_remit_day": last(F.col("remit_day")),
-        "l_claim_number": last(F.when(F.col("clm_ok"), F.col("own_number"))),
-    })
-    structural = F.col("clm_ok") | F.col("sv1_ok") | (F.col("segment_name") == "HI")
-    state = numbered.withColumns({
-        "l_claim_ln": last(F.when(F.col("clm_ok"), F.col("ln"))),
-        "l_remit_ln": last(F.when(F.col("clp_ok"), F.col("ln"))),
-        "l_owner_ln": last(F.when(structural, F.col("ln"))),
-        "l_owner": last(F.when(structural, F.col("segment_name"))),
-        "l_sv1_base": last(F.when(F.col("clm_ok"), F.col("sv1_cum"))),
-        "l_dx_base": last(F.when(F.col("clm_ok"), F.col("dx_cum"))),
-    })
-    # Keep a value only where it is read: on its own kind of segment and at the chunk's end.
-    for names, columns in _READ_ON.items():
-        used = F.col("is_last") | F.col("segment_name").isin(*names)
-        state = state.withColumns({c: F.when(used, F.col(c)) for c in columns})
-    return with_elements(state).drop("idx", "block_seq", "element_sep", "payer_set",
-                                     "member_set", "remit_day", "st_type", "own_number")
+    The rows of a chunk have to lie in one partition, in order and not between those of others, as
+    they come from ``explode_segments``. A chunk is what a task holds at a time.
+    """
+    kept = [f for f in marked.schema if f.name not in _USED_UP]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + _STATE
+    names = [f.name for f in kept]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_chunks(batches):
+            state = _Chunks(rows).state()
+            table = pa.table([*[rows[n] for n in names], *state.values()],
+                             names=[*names, *state])
+            yield from table.to_batches(max_chunksize=20_000)
+    return with_elements(marked.mapInArrow(scan, schema)).drop("element_sep")
+
+
+def check_chunks(carry_ends: DataFrame) -> None:
+    """Fails if a chunk's rows did not lie together, which would break the scan."""
+    twice = carry_ends.groupBy(*_KEYS).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the blocks of {twice[0]} do not lie together in one partition")
 
 
 def chunk_carry(scanned: DataFrame) -> DataFrame:
@@ -70,6 +195,7 @@ def chunk_carry(scanned: DataFrame) -> DataFrame:
         *_KEYS, "ln", "chunk_type", "sv1_cum", "dx_cum", "l_payer", "l_member", "l_remit_day",
         "l_claim_number", "l_claim_ln", "l_remit_ln", "l_owner_ln", "l_owner", "l_sv1_base",
         "l_dx_base")
+    check_chunks(ends)
     per_file = Window.partitionBy("upload_seq")
     before = per_file.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = per_file.orderBy("chunk").rowsBetween(Window.unboundedPreceding,
@@ -120,7 +246,7 @@ def apply_carry(scanned: DataFrame, carry: DataFrame,
     state = joined.select(
         "upload_seq", "family", "segment_name", "raw_segment_text", "elements",
         "component_sep", "clm_ok", "sv1_ok", "clp_ok", "dx_count",
-        "raw_rule", "row_rule",
+        "raw_rule", "row_rule", "own_day", "own_control", "own_remit_day", "loose",
         F.coalesce("c_type", "chunk_type").alias("file_type"),
         (offset + F.col("ln")).cast("int").alias("seg_pos"),
         F.coalesce("l_payer", "c_payer").alias("payer_name"),

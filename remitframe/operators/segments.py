@@ -43,7 +43,8 @@ def mark_segments(segments: DataFrame) -> DataFrame:
 
     ``clm_ok``, ``clp_ok`` - opens a claim / remittance; ``sv1_ok`` - a line, if a claim is open;
     ``dx_count`` - diagnoses, if a claim is open; ``payer_set``, ``member_set``, ``remit_day`` -
-    values carried to later segments; ``st_type`` - the file type an ST segment names.
+    values carried to later segments; ``st_type`` - the file type an ST segment names; ``service_day``,
+    ``control_no`` - what belongs to an earlier claim or line.
     """
     e = F.col("elements")
     name = F.col("segment_name")
@@ -64,6 +65,8 @@ def mark_segments(segments: DataFrame) -> DataFrame:
         "member_set": F.when((name == "NM1") & first.isin("IL", "QC"), member).when(
             (name == "REF") & (first == "1W"), F.nullif(second, F.lit(""))),
         "remit_day": F.when((name == "DTM") & (first == "050"), safe_date(second)),
+        "service_day": F.when((name == "DTP") & (first == "472"), safe_date(safe_element(e, 3))),
+        "control_no": F.when((name == "REF") & (first == "F8"), F.nullif(second, F.lit(""))),
         "st_type": F.when((name == "ST") & first.isin("837", "835"),
                           F.concat(F.lit("edi_"), first)),
         "own_number": F.when(name.isin("CLM", "CLP"), first),

@@ -26,8 +26,8 @@ def annotate(source: Source, store: Store, batch: int,
     """Segments with owner, numbering and carried context.
 
     The chunk-local half is staged once, in a folder per segment family, because every table
-    reads it again and needs only its own families. Elements are split again after the exchange
-    rather than sent through it, and stored, so that later filters need no splitting.
+    reads it again and needs only its own families. Elements are stored, so that later filters need no
+    splitting.
     """
     marked = mark_segments(explode_segments(source.blocks, chunk_segments))
     scanned = store.stage("segments", batch, integrity.with_row_rules(local_scan(marked)),
@@ -56,9 +56,12 @@ def ingest(source: Source, store: Store, batch: int | None = None,
                       for d in (source.files, source.blocks)])
     files = store.stage("files", batch, source.files)
     segments = annotate(Source(files, source.blocks), store, batch, chunk_segments)
+    late = store.stage("late", batch, claims.late_facts(segments))
+    if fits_broadcast(late):
+        late = F.broadcast(late)
     catalogue = store.stage("catalogue", batch, archive.edi_files(files, segments))
     rejected = store.stage("rejected", batch, integrity.rejected_files(
-        integrity.violations(segments, catalogue)))
+        integrity.violations(segments, catalogue, late)))
     small = fits_broadcast(rejected)
     any_rejected = not small or rejected.limit(1).count() > 0
     good = segments
@@ -66,9 +69,9 @@ def ingest(source: Source, store: Store, batch: int | None = None,
         side = rejected.select("upload_seq")
         good = segments.join(F.broadcast(side) if small else side, "upload_seq", "left_anti")
     # Claims and payments feed the matching, so they are stored before it.
-    own_claims = store.write("claims", batch, claims.claims_837(good, as_of_date)
+    own_claims = store.write("claims", batch, claims.claims_837(good, late, as_of_date)
                              .withColumn("created_at", stamp))
-    payments = store.stage("payments", batch, remits.remittances(good, as_of_date))
+    payments = store.stage("payments", batch, remits.remittances(good, late, as_of_date))
     stored = store.read("first_mentions") if store.batches() else None
     known = None
     if stored is not None:
@@ -83,7 +86,7 @@ def ingest(source: Source, store: Store, batch: int | None = None,
                  .withColumn("created_at", stamp))
     tables = {
         "edi_files": catalogue.join(rejected, "upload_seq", "left_anti"),
-        "claim_lines": claims.claim_lines(good),
+        "claim_lines": claims.claim_lines(good, late),
         "diagnoses": claims.diagnoses(good),
         "adjustments": remits.adjustments(good),
         "remark_codes": remits.remark_codes(good),

@@ -8,8 +8,11 @@ A source yields two frames:
   delimiters. A block ends at a segment boundary. ``(chunk, block_seq)`` orders the blocks of a
   file, and a chunk is small enough for one task.
 
-Small files are one block each. Large ones are read as separate records, so no task ever holds a
-whole file.
+Files of any size are read in byte ranges, each cut at its own file's terminator, so no task ever
+holds a whole file and size changes nothing (``ranges.py``). Only where ``pyarrow`` cannot reach the
+store, files are read whole, one block each, up to Spark's limit of 2 GB; the tables are the same.
+
+The blocks of a chunk lie in one partition, one after the other: ingest reads them in that order.
 """
 
 from __future__ import annotations
@@ -19,16 +22,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitframe.functions.edi import strip
 from remitframe.operators.ordinal import with_ordinal
 from remitframe.session import checkpointed
+from remitframe.sources import ranges
 
 GLOB = "*.{edi,txt,x12}"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ISA_LENGTH = 106
-LARGE_BYTES = 64 * 1024 * 1024
-# Segment terminators that are tried for large files.
-TERMINATORS = ("~", "\n", "'", "|")
+RANGE_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 8 * 1024 * 1024
+_LEAST_TASK = 1024 * 1024
 DELIMITERS = ("element_sep", "component_sep", "terminator")
 
 
@@ -45,8 +48,9 @@ def decode(content: Column) -> Column:
 
 
 def file_name_of(path: Column) -> Column:
-    name = F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
-    return F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown.edi"))
+    """The last part of a path as the ``binaryFile`` source gives it (not encoded)."""
+    return F.coalesce(F.nullif(F.element_at(F.split(path, "/"), -1), F.lit("")),
+                      F.lit("unknown.edi"))
 
 
 def isa_block(text: Column) -> Column:
@@ -87,81 +91,52 @@ def from_binary(files: DataFrame) -> Source:
             *DELIMITERS))
 
 
-def numbered(content: DataFrame) -> DataFrame:
-    """Whole-file rows with ``upload_seq``. Only paths and times are sorted, not the contents."""
+def listing_of(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
+    """Path, time and length of the files below a folder. No content is read."""
+    return (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+            .format("binaryFile").load(path).select("path", "modificationTime", "length"))
+
+
+def read_edi(spark: SparkSession, path: str, glob: str = GLOB, range_bytes: int = RANGE_BYTES,
+             block_bytes: int = BLOCK_BYTES) -> Source:
+    """EDI files of any size, in either charset and with any delimiters."""
+    if ranges.can_read(path):
+        return from_listing(listing_of(spark, path, glob), range_bytes, block_bytes)
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return from_whole(reader.format("binaryFile").load(path))
+
+
+def from_whole(content: DataFrame) -> Source:
+    """Source from unnumbered whole-file rows. Only paths and times are sorted, not the contents."""
     seqs = upload_order(content.select("path", "modificationTime"))
     # This side holds only path and number; adaptive execution broadcasts it when its measured
     # size is small.
-    return content.select("path", "content").join(seqs.select("path", "upload_seq"), "path")
-
-
-def _reader(spark: SparkSession, glob: str):
-    return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-
-
-def read_edi(spark: SparkSession, path: str, glob: str = GLOB,
-             large_bytes: int = LARGE_BYTES,
-             terminators: tuple[str, ...] = TERMINATORS) -> Source:
-    """Read EDI files of any size.
-
-    A file up to ``large_bytes`` is one row, with any delimiters and either charset. A larger one
-    is split into byte ranges, so it is never in one task; either charset is found over all of its
-    records, and it has to end its segments with one of ``terminators``, or it gets a file error.
-    They are tried in turn until every large file has one, so put the usual ones first.
-    """
-    listed = _reader(spark, glob).format("binaryFile").load(path)
-    seqs = upload_order(listed.select(F.col("_metadata.file_path").alias("path"),
-                                      "modificationTime", "length"))
-    # The length filter is applied to the listing: contents of large files are not read.
-    content = listed.where(F.col("length") <= large_bytes).select(
-        F.col("_metadata.file_path").alias("path"), "content")
-    small = from_binary(content.join(seqs.select("path", "upload_seq"), "path"))
-    large = seqs.where(F.col("length") > large_bytes)
-    if large.isEmpty():
-        return small
-    rest = _read_records(spark, path, glob, large, large_bytes, terminators)
-    return Source(small.files.unionByName(rest.files), small.blocks.unionByName(rest.blocks))
-
-
-def _read_records(spark: SparkSession, path: str, glob: str, large: DataFrame,
-                  large_bytes: int, terminators: tuple[str, ...]) -> Source:
-    """Large files as text records that end at a terminator; a byte range is a chunk.
-
-    Records are cut as bytes, which is safe in both charsets, and stay bytes until the charset of
-    their whole file is known.
-    """
-    found, blocks = None, None
-    for t in terminators:
-        records = (_reader(spark, glob).option("lineSep", t).text(path)
-                   .where(F.col("_metadata.file_size") > large_bytes)
-                   .select(F.col("_metadata.file_path").alias("path"),
-                           F.col("_metadata.file_block_start").alias("chunk"),
-                           F.monotonically_increasing_id().alias("block_seq"),
-                           F.col("value").cast("binary").alias("content")))
-        mine = records if found is None else records.join(
-            found.select("path"), "path", "left_anti")
-        # Latin-1 shows the ASCII of a head as it is in either charset. The ISA segment must be
-        # complete when the record ends, or this is not its terminator.
-        latin = F.decode("content", "ISO-8859-1")
-        head = F.substring(latin, F.locate("ISA", latin), F.lit(ISA_LENGTH))
-        seen = mine.groupBy("path").agg(
-            F.min_by(F.when(F.contains(latin, F.lit("ISA")), head), F.when(
-                F.contains(latin, F.lit("ISA")), F.struct("chunk", "block_seq"))).alias("head"),
-            F.bool_and(F.try_validate_utf8(F.col("content").cast("string")).isNotNull()).alias(
-                "utf8")).where(F.length("head") == ISA_LENGTH - 1)
-        files = checkpointed(with_delimiters(large.join(seen, "path"), F.concat("head", F.lit(t))))
-        text = F.when(F.col("utf8"), F.col("content").cast("string")).otherwise(latin)
-        # A file that is split into very many records sits on the left, where adaptive
-        # execution can divide it.
-        part = records.join(files.select("path", "upload_seq", "utf8", *DELIMITERS), "path").select(
-            "upload_seq", "chunk", "block_seq", text.alias("text"), *DELIMITERS).where(
-            strip(F.col("text")) != "")
-        found = files if found is None else found.unionByName(files)
-        blocks = part if blocks is None else blocks.unionByName(part)
-        if large.join(found, "path", "left_anti").isEmpty():
-            break
-    lost = large.join(found.select("path"), "path", "left_anti").withColumn(
-        "file_error", F.lit(f"no ISA segment ends at one of {list(terminators)}"))
-    files = found.unionByName(lost, allowMissingColumns=True)
-    return Source(files.select("upload_seq", file_name_of(F.col("path")).alias("file_name"),
-                               *DELIMITERS, "file_error"), blocks)
+    return from_binary(content.select("path", "content").join(
+        seqs.select("path", "upload_seq"), "path"))
+
+
+def from_listing(listing: DataFrame, range_bytes: int = RANGE_BYTES,
+                 block_bytes: int = BLOCK_BYTES) -> Source:
+    """Source from a listing of files (``path, modificationTime, length``), read range by range."""
+    numbered = upload_order(listing).select("upload_seq", "path", "length")
+    cut = numbered.select("*", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)),
+        F.lit(range_bytes).cast("long"))).alias("start")).withColumn(
+        "end", F.least(F.col("start") + range_bytes, F.col("length")))
+    size, n = cut.agg(F.sum(F.col("end") - F.col("start")), F.count(F.lit(1))).first()
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    # A task reads about one full range, or many small ones; few files still use all cores.
+    tasks = max(-(-(size or 0) // max(range_bytes, _LEAST_TASK)), min(n, cores), 1)
+    heads = ranges.heads(cut.repartition(tasks), chars=ISA_LENGTH).groupBy("upload_seq").agg(
+        F.bool_and("utf8").alias("utf8"), F.min_by("head", "head_at").alias("head"))
+    head = F.when(F.col("utf8"), F.col("head").cast("string")).otherwise(
+        F.decode("head", "ISO-8859-1"))
+    files = checkpointed(with_delimiters(
+        numbered.join(heads, "upload_seq"), F.substring(head, 1, ISA_LENGTH)).select(
+        "upload_seq", file_name_of(F.col("path")).alias("file_name"), "utf8", *DELIMITERS,
+        "file_error"))
+    # Ranges get to their tasks before any text is read.
+    readable = cut.join(files.where("file_error is null").select(
+        "upload_seq", "utf8", *DELIMITERS), "upload_seq").repartition(tasks)
+    blocks = ranges.blocks(readable, block_bytes).withColumn("block_seq", F.lit(0).cast("long"))
+    return Source(files.drop("utf8"), blocks)

@@ -422,5 +422,11 @@ FROM claims c, (SELECT max(u) AS last FROM (SELECT u FROM st7 UNION SELECT u FRO
 }
 
 
+# Real files have an accent before each payer's name.
+_OF_FILES = ("files_claims", "stream_claims")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: BASE + body for name, body in _BODIES.items()}
+    plain = {name: BASE + body for name, body in _BODIES.items()}
+    accented = BASE.replace("c_mktsegment AS seg", "'\u00c9' || c_mktsegment AS seg")
+    return plain | {name: accented + _BODIES[name] for name in _OF_FILES}

@@ -23,6 +23,7 @@ from remitframe.streaming.incremental import stream_ingest
 
 _stores: dict[tuple[str, str], Store] = {}
 _models: dict[tuple[str, str], FeatureModel] = {}
+_folders: dict[tuple[str, str], str] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -69,21 +70,51 @@ def star_store(spark: SparkSession, sf_dir: str, source: Source | None = None) -
     return _stores[key]
 
 
+def _as_real_file(blocks: DataFrame) -> DataFrame:
+    """Text as senders write it: accents in payer names, and in each fourth file segments that end with
+    a control character."""
+    odd = F.replace("text", F.lit("N1*PR*"), F.lit("N1*PR*\u00c9"))
+    return blocks.withColumn("text", F.when(F.col("upload_seq") % 4 == 1, F.replace(
+        odd, F.lit("~"), F.lit("\x1d"))).when(F.col("upload_seq") % 2 == 1, odd).otherwise(
+        F.col("text")))
+
+
 def edi_folder(spark: SparkSession, sf_dir: str) -> str:
     """The same files as real ones, a folder each, with times in the order of their numbers.
 
-    Numbers that no file has go to files without any segment, so that all others keep theirs.
+    Each third submission is in Latin-1, the others are in UTF-8. Numbers that no file has go to files
+    without any segment, so that all others keep theirs.
     """
-    digest = hashlib.sha256("|".join(_key(spark, sf_dir)).encode()).hexdigest()[:16]
+    key = (*_key(spark, sf_dir), "folder")
+    if key in _folders:
+        return _folders[key]
+    digest = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
     folder = f"{shared_dir(spark)}/edi-{digest}"
-    blocks = render(spark, sf_dir).blocks
-    # Blocks end with their last terminator, so a newline between two of them means nothing.
-    (blocks.repartition("upload_seq").sortWithinPartitions("upload_seq", "chunk", "block_seq")
-     .select("upload_seq", "text").write.mode("overwrite").partitionBy("upload_seq").text(folder))
+
+    def write(batches):
+        from remitframe.sources.ranges import locate
+        number, out = None, None
+        for batch in batches:
+            for seq, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if seq != number:
+                    if out:
+                        out.close()
+                    store, place = locate(f"{folder}/upload_seq={seq}/part.edi")
+                    store.create_dir(place.rpartition("/")[0])
+                    number, out = seq, store.open_output_stream(place)
+                # Blocks end with their last terminator, so a newline between two means nothing.
+                out.write(f"{text}\n".encode("latin-1" if seq % 6 == 1 else "utf-8"))
+            yield batch.slice(0, 0)
+        if out:
+            out.close()
+    # A file is written by one task, so it holds one file's rows in order.
+    (_as_real_file(render(spark, sf_dir).blocks).repartition("upload_seq")
+     .sortWithinPartitions("upload_seq", "chunk", "block_seq").select("upload_seq", "text")
+     .mapInArrow(write, "upload_seq long, text string").count())
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     paths = {int(found.getPath().getParent().getName().split("=")[1]): found.getPath()
-             for found in files.globStatus(hadoop(f"{folder}/upload_seq=*/part-*"))}
+             for found in files.globStatus(hadoop(f"{folder}/upload_seq=*/part.edi"))}
     for number in range(1, max(paths, default=0) + 1):
         if number not in paths:   # a file that is none takes a number all the same
             paths[number] = hadoop(f"{folder}/upload_seq={number}/none.txt")
@@ -91,27 +122,38 @@ def edi_folder(spark: SparkSession, sf_dir: str) -> str:
             out.write(b"none")
             out.close()
         files.setTimes(paths[number], 1_700_000_000_000 + number * 1000, -1)
+    _folders[key] = folder
     return folder
 
 
 def file_store(spark: SparkSession, sf_dir: str) -> Store:
-    """Ingest of real files; those above 64 KB are read in byte ranges."""
+    """Ingest of real files in byte ranges of 64 KB, with their text kept."""
     key = (*_key(spark, sf_dir), "files")
     if key not in _stores:
         folder = edi_folder(spark, sf_dir)
         _stores[key] = Store(spark, f"{folder}-store")
-        ingest(read_edi(spark, folder, large_bytes=1 << 16), _stores[key], as_of_date=AS_OF,
-               keep_text=False)
+        ingest(read_edi(spark, folder, range_bytes=1 << 16, block_bytes=1 << 14), _stores[key],
+               as_of_date=AS_OF)
     return _stores[key]
 
 
+def files_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archived text of each file, block after block, by length and digest of its segments."""
+    return file_store(spark, sf_dir).read("raw_segments").groupBy("upload_seq").agg(
+        F.count(F.lit(1)).alias("segments"), F.sum(F.length("raw_segment_text")).alias("chars"),
+        F.bit_xor(F.conv(F.substring(F.md5(F.concat_ws(
+            ":", "segment_position", "raw_segment_text")), 1, 15), 16, 10).cast("long")).alias(
+            "digest"))
+
+
 def stream_store(spark: SparkSession, sf_dir: str, files_per_batch: int = 40) -> Store:
-    """The same files as a stream of micro-batches."""
+    """The same files as a stream of micro-batches, each file in byte ranges."""
     key = (*_key(spark, sf_dir), "stream")
     if key not in _stores:
         folder = edi_folder(spark, sf_dir)
         query = stream_ingest(spark, folder, f"{folder}-streamed", f"{folder}-checkpoint",
-                              as_of_date=AS_OF, files_per_batch=files_per_batch)
+                              as_of_date=AS_OF, files_per_batch=files_per_batch,
+                              range_bytes=1 << 16)
         query.awaitTermination()
         _stores[key] = Store(spark, f"{folder}-streamed")
     return _stores[key]
@@ -320,6 +362,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "remittances_in_batches": lambda s, d: _no_raw(
             batch_store(s, d).read("remittance_claims")),
         "updated_claims": updated_claims,
+        "files_text": files_text,
         "files_claims": lambda s, d: _no_raw(reads.current_claims(file_store(s, d))),
         "stream_claims": lambda s, d: _no_raw(reads.current_claims(stream_store(s, d))),
         "find_claims_by_number": lambda s, d: _first_found(s, d, "claim_number"),

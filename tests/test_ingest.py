@@ -8,13 +8,19 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from remitframe.contracts import TABLES
+from remitframe.operators.scan import local_scan
+from remitframe.operators.segments import explode_segments, mark_segments
 from remitframe.plans import reads
 from remitframe.plans.dataset import build_dataset
 from remitframe.plans.ingest import ingest
 from remitframe.sources.codes import load_code_masters
-from remitframe.sources.files import read_edi
+from remitframe.sources import ranges
+from remitframe.sources.files import Source, from_whole, read_edi
 from remitframe.sources.store import Store
 from remitframe.streaming.incremental import stream_ingest
 from tests.edi_texts import (
@@ -259,31 +265,20 @@ def test_stream_equals_batch(spark):
         assert table_rows(stream, table) == table_rows(batch, table), table
 
 
-def test_large_files_equal_whole_files(spark):
-    """Large files are read in byte ranges; here every range is a few dozen bytes."""
-    names = ["sample837.edi", "sample835.edi", "otherseps.x12", "badclm.edi", "noisa.txt"]
+def test_ranges_equal_whole_files(spark):
+    """Files cut into ranges of a few dozen bytes give the tables of whole files."""
+    names = ["sample837.edi", "sample835.edi", "otherseps.x12", "badclm.edi", "noisa.txt",
+             "shortisa.edi", "latin.edi", "twoisa.edi"]
     folder = write_files(names)
     whole, split = Store(spark, new_folder()), Store(spark, new_folder())
     ingest(read_edi(spark, folder), whole, as_of_date=AS_OF)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
-    spark.conf.set("spark.sql.files.openCostInBytes", 0)
-    try:
-        source = read_edi(spark, folder, large_bytes=300, terminators=("~", "\n"))
-        assert source.blocks.select("chunk").distinct().count() > 5
-        ingest(source, split, as_of_date=AS_OF)
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    source = read_edi(spark, folder, range_bytes=64, block_bytes=50)
+    assert source.blocks.count() > 25
+    ingest(source, split, as_of_date=AS_OF)
     for table in SAME:
         assert table_rows(split, table) == table_rows(whole, table), table
 
 
-def test_large_file_with_unknown_terminator(spark):
-    folder = write_files(["sample837.edi", "sample835.edi"])
-    files = read_edi(spark, folder, large_bytes=10, terminators=("|",)).files.collect()
-    assert {f.file_error for f in files} == {"no ISA segment ends at one of ['|']"}
-
-
 def _one(spark, name, text, tmp_path):
     folder = tmp_path / name
     folder.mkdir()
@@ -365,28 +360,66 @@ def test_codes_are_checked_and_outlive_batches(spark, tmp_path):
     assert store.read("code_masters").count() == 2
 
 
-@pytest.mark.parametrize("terminator", ["~", "\n"])
-def test_size_changes_neither_charset_nor_result(spark, tmp_path, terminator):
-    payer = text("837", "N1*PR*Caf\xe9", "CLM*L1*10***:B:1", *[
-        f"SV1*HC:{k}*1*UN*1" for k in range(40)], t=terminator)
-    for name, content in (("latin", payer.encode("latin-1")), ("utf", payer.encode())):
-        (tmp_path / f"{name}.edi").write_bytes(content)
-    tables = []
-    for name, large in (("whole", 1 << 20), ("cut", 200)):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "64" if name == "cut" else "128m")
-        spark.conf.set("spark.sql.files.openCostInBytes", "0")
-        try:
-            store = Store(spark, str(tmp_path / name))
-            ingest(read_edi(spark, str(tmp_path), large_bytes=large), store, as_of_date=AS_OF)
-            tables.append(sorted(tuple(r) for r in store.read("claims").select(
-                "claim_id", "payer_name", "claim_number").collect()) + sorted(
-                tuple(r) for r in store.read("claim_lines").select(
-                    "claim_id", "line_number", "procedure_code").collect()))
-        finally:
-            spark.conf.unset("spark.sql.files.maxPartitionBytes")
-            spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert tables[0] == tables[1]
-    assert {r[1] for r in tables[0][:2]} == {"Caf\xe9"}
+def test_any_terminator_and_charset_in_ranges_of_any_size(spark, tmp_path):
+    """Each file its own terminator, control characters and non-ASCII ones too, in both charsets."""
+    marks = "~\n'|\r\t\x00\x01\x1c\x1d\x1e\x7f!^#;$\x85\xa0\xa7\xe9\u20ac\u6f22\U0001d4b3"
+    for k, mark in enumerate(marks):
+        payer = text("837", "N1*PR*Caf\xe9 \xfc", "CLM*L1*10***:B:1", *[
+            f"SV1*HC:{i}*1*UN*1" for i in range(12)], t=mark)
+        for name, charset in (("latin", "latin-1"), ("utf", "utf-8")):
+            if ord(mark) < 256 or charset == "utf-8":
+                (tmp_path / f"{k:02d}{name}.edi").write_bytes(payer.encode(charset))
+    (tmp_path / "a b%20+c.edi").write_bytes(text("837", "CLM*P1*10***:B:1").encode())
+
+    def contents(source):
+        files = {r.upload_seq: r for r in source.files.collect()}
+        texts = {}
+        for r in sorted(source.blocks.collect(), key=lambda r: (r.upload_seq, r.chunk)):
+            texts[r.upload_seq] = texts.get(r.upload_seq, "") + r.text
+        return {r.file_name: (r.terminator, r.element_sep, r.file_error, texts.get(k))
+                for k, r in files.items()}
+    whole = contents(from_whole(spark.read.format("binaryFile").load(str(tmp_path))))
+    assert whole["a b%20+c.edi"][0] == "~"
+    assert all(e is None for _, _, e, _ in whole.values()) and len(whole) == 46
+    for size in (64, 7, 1 << 20):
+        assert contents(read_edi(spark, str(tmp_path), range_bytes=size, block_bytes=97)) == whole
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"~", "\xe9".encode(), "\u20ac".encode(),
+                                 "\U0001d4b3".encode(), b"\xe9", b"\x80", b"\xf0", b"\xff"])),
+       st.integers(1, 9), st.integers(1, 9))
+def test_ranges_cover_every_byte_once(parts, size, block):
+    content = b"".join(parts)
+    read_at = lambda start, n: content[start:start + n]
+    cuts = [(s, min(s + size, len(content))) for s in range(0, len(content), size)]
+    found = [b for s, e in cuts for b in ranges.blocks_of(read_at, s, e, len(content), b"~", block)]
+    assert b"".join(t for _, t in found) == content
+    assert [p for p, _ in found] == sorted({p for p, _ in found})
+    assert all(t.endswith(b"~") for _, t in found[:-1])
+    try:
+        content.decode()
+        valid = True
+    except UnicodeDecodeError:
+        valid = False
+    assert all(ranges.is_utf8(read_at, s, e, len(content)) for s, e in cuts) == valid
+
+
+def test_no_exchange_above_the_text(spark, tmp_path):
+    """Ingest's scan keeps segments where their blocks are read."""
+    source = read_edi(spark, write_files(["sample837.edi", "sample835.edi"]))
+    marked = mark_segments(explode_segments(source.blocks))
+    plan = local_scan(marked)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("explode(")] if "explode(" in plan else plan
+    assert "Exchange" not in above and "Sort" not in above and "Window" not in above
+
+
+def test_chunks_out_of_order_are_refused(spark):
+    source = read_edi(spark, write_files(["sample837.edi"]), range_bytes=100, block_bytes=100)
+    torn = Source(source.files, source.blocks.withColumn("block_seq", F.col("chunk")).withColumn(
+        "chunk", F.lit(0).cast("long")).repartition(5, "block_seq"))
+    with pytest.raises(ValueError, match="do not lie together"):
+        ingest(torn, Store(spark, new_folder()), as_of_date=AS_OF)
 
 
 def test_pages_by_key(spark, store):
