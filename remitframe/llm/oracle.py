@@ -51,8 +51,16 @@ def quality_sql() -> str:
         [f"left{k}" for k in range(len(steps))], strict=True))
     counts = ", ".join(f"len(list_filter(common, lambda w: w = '{w}'))" for w in quality.COMMON_WORDS)
 
-    def sums(column, n):
-        return f"[{', '.join(f'sum({column}[{k}])' for k in range(1, n + 1))}] AS ref_{column}"
+    def shares(column, n):
+        parts = ", ".join(
+            f"sum(CASE WHEN list_sum({column}) > 0 THEN floor({column}[{k}] * {quality._PARTS} "
+            f"/ list_sum({column})::DOUBLE) ELSE 0 END)::BIGINT" for k in range(1, n + 1))
+        return f"[{parts}] AS ref_{column}"
+
+    def limit(name, spreads, fixed):
+        return f"""CASE WHEN max(texts) < {quality.MIN_TEXTS} THEN {fixed}::DOUBLE
+            ELSE max(mid_{name}) + {spreads} * greatest(quantile_cont(round(abs({name} - mid_{name}),
+                 {quality._DECIMALS}), 0.5), {quality.LEAST_SPREAD}::DOUBLE) END AS {name}_limit"""
 
     def distance(p, q):
         return f"""(SELECT sqrt(greatest(0, sum(
@@ -76,7 +84,7 @@ repeated AS (SELECT doc_id, i FROM (
                  SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
                 SELECT doc_id, i + unnest(range({quality.WINDOW})) AS p FROM repeated) GROUP BY 1),
-f AS (SELECT doc_id, lang, len(words) AS n_words, length(in_words) AS word_chars,
+f AS (SELECT doc_id, lang, text, len(words) AS n_words, length(in_words) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words,
@@ -85,22 +93,38 @@ f AS (SELECT doc_id, lang, len(words) AS n_words, length(in_words) AS word_chars
       FROM c LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, n_words < {quality.MIN_WORDS}
              OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
-r AS (SELECT lang, {sums('class_counts', len(quality.CHAR_CLASSES) + 1)},
-             {sums('word_counts', len(quality.COMMON_WORDS) + 1)}
-      FROM b WHERE NOT base_failed GROUP BY lang),
-s AS (SELECT b.*, CASE WHEN list_sum(class_counts) > 0 AND list_sum(ref_class_counts) > 0 THEN
+t AS (SELECT DISTINCT lang, text, n_words, class_counts, word_counts FROM b WHERE NOT base_failed),
+r AS (SELECT lang, {shares('class_counts', len(quality.CHAR_CLASSES) + 1)},
+             {shares('word_counts', len(quality.COMMON_WORDS) + 1)}
+      FROM t GROUP BY lang),
+k AS (SELECT DISTINCT lang, n_words, class_counts, word_counts FROM b),
+s AS (SELECT k.*, CASE WHEN list_sum(class_counts) > 0 AND list_sum(ref_class_counts) > 0 THEN
                   {distance('class_counts', 'ref_class_counts')} END AS class_distance,
              CASE WHEN list_sum(word_counts) > 0 AND list_sum(ref_word_counts) > 0 THEN
                   {distance('word_counts', 'ref_word_counts')} END AS word_distance
-      FROM b LEFT JOIN r ON b.lang IS NOT DISTINCT FROM r.lang)
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+      FROM k LEFT JOIN r ON k.lang IS NOT DISTINCT FROM r.lang),
+x AS (SELECT *, class_distance - {quality.SHORT_CLASS_ALLOWANCE}::DOUBLE / sqrt(n_words) AS class,
+             word_distance - {quality.SHORT_TEXT_ALLOWANCE}::DOUBLE / sqrt(n_words) AS word FROM s),
+e AS (SELECT t.lang, round(x.class, {quality._DECIMALS}) AS class,
+             round(x.word, {quality._DECIMALS}) AS word
+      FROM t JOIN x ON t.lang IS NOT DISTINCT FROM x.lang AND t.n_words = x.n_words
+           AND t.class_counts = x.class_counts AND t.word_counts = x.word_counts
+      WHERE t.n_words >= {quality.MIN_JUDGED_WORDS}),
+m AS (SELECT lang, count(*) AS texts, quantile_cont(class, 0.5) AS mid_class,
+             quantile_cont(word, 0.5) AS mid_word FROM e GROUP BY lang),
+l AS (SELECT e.lang, max(texts) AS texts,
+             {limit('class', quality.CLASS_SPREADS, quality.MAX_CLASS_DISTANCE)},
+             {limit('word', quality.WORD_SPREADS, quality.MAX_WORD_DISTANCE)}
+      FROM e JOIN m ON e.lang IS NOT DISTINCT FROM m.lang GROUP BY e.lang)
+SELECT doc_id, b.n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
        n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT (n_words >= {quality.MIN_JUDGED_WORDS} AND (
-           coalesce(class_distance > {quality.MAX_CLASS_DISTANCE}, false)
-           OR coalesce(word_distance > {quality.MAX_WORD_DISTANCE}
-                       + {quality.SHORT_TEXT_ALLOWANCE} / sqrt(n_words), false))) AS kept
-FROM s
+       NOT base_failed AND NOT (b.n_words >= {quality.MIN_JUDGED_WORDS} AND (
+           coalesce(CASE WHEN texts < {quality.MIN_TEXTS} THEN class_distance ELSE class END
+                    > class_limit, false) OR coalesce(word > word_limit, false))) AS kept
+FROM b JOIN x ON b.lang IS NOT DISTINCT FROM x.lang AND b.n_words = x.n_words
+     AND b.class_counts = x.class_counts AND b.word_counts = x.word_counts
+LEFT JOIN l ON b.lang IS NOT DISTINCT FROM l.lang
 """
 
 

@@ -8,8 +8,7 @@ pass the base rules, by the Jensen-Shannon distance (base 2, between 0 and 1). S
 ``judge`` makes references of the shares of each document, each distinct text once, so that neither
 long texts nor copies weigh more than others. Its limits are those of the language: the median
 distance of its distinct texts plus a multiple of their spread (the median absolute deviation), both
-after an allowance for short texts. Languages with few texts have fixed limits. ``judge_fixed`` adds
-raw counts and has fixed limits for all; the SQL of ``op4_quality`` is written for it.
+after an allowance for short texts. Languages with few texts have fixed limits.
 
 Everything is a column expression. Windows of eight words are compared inside their row, by sorting,
 so a long or very repetitive text costs n log n. They are compared by 64-bit hashes. Nothing that a
@@ -149,14 +148,6 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "base_failed"), "class_counts", "word_counts")
 
 
-def language_references(features: DataFrame) -> DataFrame:
-    """Summed histograms of the documents of each language that pass the base rules."""
-    def sums(column, n):
-        return F.array(*[F.sum(F.get(column, F.lit(k))) for k in range(n)]).alias(f"ref_{column}")
-    return features.where(~F.col("base_failed")).groupBy("lang").agg(
-        sums("class_counts", len(CHAR_CLASSES) + 1), sums("word_counts", len(COMMON_WORDS) + 1))
-
-
 def jensen_shannon(p_counts: Column, q_counts: Column) -> Column:
     """Jensen-Shannon distance of two count arrays of equal length, base 2; null if one is empty."""
     def total(a):
@@ -248,27 +239,3 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         (F.col("n_words") >= min_judged_words) & far)).drop(
         "ref_lang", "ref_class_counts", "ref_word_counts", "limit_lang", "texts", "class_limit",
         "word_limit", "text_hash")
-
-
-def judge_fixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                lang_col: str = "lang", references: DataFrame | None = None,
-                min_judged_words: int = MIN_JUDGED_WORDS,
-                max_class_distance: float = MAX_CLASS_DISTANCE,
-                max_word_distance: float = MAX_WORD_DISTANCE,
-                short_text_allowance: float = SHORT_TEXT_ALLOWANCE,
-                carried: Column | None = None) -> DataFrame:
-    """Features, both distances and ``kept``, one row per document, by summed counts.
-
-    ``references`` (``lang``, ``ref_class_counts``, ``ref_word_counts``) may come from another
-    corpus; otherwise all documents given here make them. ``carried`` is handed through.
-    """
-    features = staged(text_features(docs, id_col, text_col, lang_col, carried), "quality")
-    references = language_references(features) if references is None else references
-    references = staged(references, "references").withColumnRenamed("lang", "ref_lang")
-    scored = _scored(features, references)
-    word_limit = max_word_distance + short_text_allowance / F.sqrt(F.col("n_words"))
-    far = (F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False))
-           | F.coalesce(F.col("word_distance") > word_limit, F.lit(False)))
-    return scored.withColumn("kept", ~F.col("base_failed") & ~(
-        (F.col("n_words") >= min_judged_words) & far)).drop(
-        "ref_lang", "ref_class_counts", "ref_word_counts")
