@@ -67,6 +67,14 @@ _DDL = {
 
 TABLES = tuple(_DDL)
 
+# Columns that single values are looked up in, though their values lie anywhere in a table. Files
+# get Bloom filters on them; the ids of children rise with the files' order, so their ranges do.
+LOOKED_UP = {
+    "claims": ("claim_number", "patient_member_id"),
+    "remittance_claims": ("claim_id", "claim_number"),
+    "status_updates": ("claim_id",),
+}
+
 
 def schema_of(table: str) -> StructType:
     return StructType.fromDDL(_DDL[table])

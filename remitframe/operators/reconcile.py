@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from remitframe.contracts import CLAIM_STATUSES
 from remitframe.functions.edi import as_of, claim_status_for, entity_id, position_of
-from remitframe.session import checked_join
 
 
 def first_mentions(claims: DataFrame, remits: DataFrame,
@@ -31,15 +30,6 @@ def first_mentions(claims: DataFrame, remits: DataFrame,
     return first
 
 
-def known_numbers(stored: DataFrame, claims: DataFrame, remits: DataFrame) -> DataFrame:
-    """Stored first mentions of the numbers in this batch.
-
-    While the batch is small its numbers are broadcast and the stored table is only scanned.
-    """
-    numbers = claims.select("claim_number").unionByName(remits.select("claim_number")).distinct()
-    return checked_join(stored, numbers, "claim_number", "left_semi")
-
-
 def resolve(remits: DataFrame, mentions: DataFrame) -> DataFrame:
     """Add ``claim_id`` to every remittance.
 

@@ -179,7 +179,7 @@ def local_scan(marked: DataFrame) -> DataFrame:
             table = pa.table([*[rows[n] for n in names], *state.values()],
                              names=[*names, *state])
             yield from table.to_batches(max_chunksize=20_000)
-    return with_elements(marked.mapInArrow(scan, schema)).drop("element_sep")
+    return with_elements(marked.mapInArrow(scan, schema))
 
 
 def check_chunks(carry_ends: DataFrame) -> None:
@@ -234,7 +234,7 @@ def apply_carry(scanned: DataFrame, carry: DataFrame,
     checked here: it is broadcast while small and shuffled otherwise.
     """
     side = F.broadcast(carry) if fits_broadcast(carry, limit) else carry
-    joined = scanned.join(side, _KEYS, "left")
+    joined = with_elements(scanned.join(side, _KEYS, "left"))
     offset = F.coalesce("c_offset", F.lit(0))
 
     def position(local, carried):

@@ -13,6 +13,7 @@ from remitframe.operators.scan import apply_carry, chunk_carry, local_scan
 from remitframe.operators.segments import CHUNK_SEGMENTS, explode_segments, mark_segments
 from remitframe.session import fits_broadcast
 from remitframe.sources.files import Source
+from remitframe.sources.mentions import Mentions
 from remitframe.sources.store import Store
 
 _COUNTED = {"claims": "claims_count", "claim_lines": "claim_lines_count",
@@ -26,12 +27,12 @@ def annotate(source: Source, store: Store, batch: int,
     """Segments with owner, numbering and carried context.
 
     The chunk-local half is staged once, in a folder per segment family, because every table
-    reads it again and needs only its own families. Elements are stored, so that later filters need no
-    splitting.
+    reads it again and needs only its own families. Elements are split again there: that is cheaper than
+    to store them beside the text.
     """
     marked = mark_segments(explode_segments(source.blocks, chunk_segments))
-    scanned = store.stage("segments", batch, integrity.with_row_rules(local_scan(marked)),
-                          family="family")
+    scanned = store.stage("segments", batch, integrity.with_row_rules(local_scan(marked)).drop(
+        "elements"), family="family")
     carry = store.stage("carry", batch, chunk_carry(scanned))
     return apply_carry(scanned, carry)
 
@@ -72,13 +73,12 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     own_claims = store.write("claims", batch, claims.claims_837(good, late, as_of_date)
                              .withColumn("created_at", stamp))
     payments = store.stage("payments", batch, remits.remittances(good, late, as_of_date))
-    stored = store.read("first_mentions") if store.batches() else None
-    known = None
-    if stored is not None:
-        known = store.stage("known", batch,
-                            reconcile.known_numbers(stored, own_claims, payments))
-    new = store.write("first_mentions", batch,
-                      reconcile.first_mentions(own_claims, payments, known))
+    state = Mentions(store)
+    known = state.known(own_claims.select("claim_number").unionByName(
+        payments.select("claim_number")))
+    if known is not None:
+        known = store.stage("known", batch, known)
+    new = state.add(batch, reconcile.first_mentions(own_claims, payments, known))
     mentions = new if known is None else new.unionByName(known)
     resolved = store.write("remittance_claims", batch, reconcile.resolve(payments, mentions)
                            .withColumn("created_at", stamp))
@@ -106,7 +106,8 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     first_seq, last_seq = files.agg(F.min("upload_seq"), F.max("upload_seq")).first()
     if first_seq is not None and first_seq <= before:
         raise ValueError("a source has to number its files from 1")
-    store.commit(batch, first_seq or before + 1, last_seq or before, stream, stream_batch)
+    store.commit(batch, first_seq or before + 1, last_seq or before, stream, stream_batch,
+                 state.merged, state.rows)
     return batch
 
 

@@ -1,0 +1,71 @@
+"""Which row first mentioned a claim number: the state that payments are matched against.
+
+The table ``first_mentions`` is hash-partitioned by claim number, and a batch reads only the partitions
+that its own numbers fall into. Each batch adds its new numbers in a folder of its own. So that the
+folders do not become ever more, a batch takes over those of the latest ones before it while they
+hold no more rows than what it writes, and all once there are ``MOST_LIVE``: its commit names the
+batches whose rows it holds too. A number is thus written again about as often as the table doubles, and a
+batch opens at most ``MOST_LIVE`` files per partition that it touches, however long the history is.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from remitframe.contracts import schema_of
+from remitframe.session import checked_join
+from remitframe.sources.store import Store
+
+TABLE = "first_mentions"
+# Part of the stored layout: must not change during a store's life.
+BUCKETS = 64
+MOST_LIVE = 8
+
+
+def bucket_of(number: Column) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(BUCKETS)).cast("int")
+
+
+class Mentions:
+    """The state as the store's commits have it, and what one batch adds to it."""
+
+    def __init__(self, store: Store, most_live: int = MOST_LIVE):
+        self.store, self.most_live = store, most_live
+        self.live = store.live(TABLE)
+        self.merged: list[int] = []
+        self.rows = 0
+
+    def stored(self, buckets: list[int] | None = None, batches: list[int] | None = None) -> DataFrame:
+        """``claim_number, claim_id`` of some partitions (all of them by default)."""
+        chosen = [c.batch for c in self.live] if batches is None else batches
+        if not chosen:
+            return self.store.spark.createDataFrame([], schema_of(TABLE))
+        found = self.store.parts(TABLE, [self.store.folder(TABLE, b) for b in chosen],
+                                 bucket="integer")
+        if buckets is not None:
+            found = found.where(F.col("bucket").isin(buckets))
+        return found.select(*schema_of(TABLE).names)
+
+    def known(self, numbers: DataFrame) -> DataFrame | None:
+        """First mentions of those numbers that are stored; None for an empty state."""
+        if not self.live:
+            return None
+        numbers = numbers.select("claim_number").distinct()
+        # One small row per partition, of which there are ``BUCKETS``.
+        touched = [r.bucket for r in numbers.select(
+            bucket_of(F.col("claim_number")).alias("bucket")).distinct().collect()]
+        return checked_join(self.stored(touched), numbers, "claim_number", "left_semi")
+
+    def add(self, batch: int, new: DataFrame) -> DataFrame:
+        """Writes the numbers that a batch is the first to mention, and gives them back."""
+        new = self.store.stage("mentions", batch, new.select("claim_number", "claim_id"))
+        self.rows = new.count()
+        kept = list(self.live)
+        while kept and (self.rows >= kept[-1].mentions or len(kept) >= self.most_live):
+            self.rows += kept[-1].mentions
+            self.merged.append(kept.pop().batch)
+        whole = new.unionByName(self.stored(batches=self.merged)) if self.merged else new
+        self.store.write_parts(TABLE, batch, whole.withColumn(
+            "bucket", bucket_of(F.col("claim_number"))), "bucket")
+        return new

@@ -3,20 +3,20 @@
 ``<path>/<table>/batch=N`` holds what batch N added. A batch counts only once its row is in
 ``<path>/commits``, which is written last: readers see all of a batch or nothing, and a batch
 that is run again after a failure replaces its own folders. The row names the tables the batch
-has, the range of its upload numbers, and the stream and micro-batch it came from, if any. Staged
-frames of a batch are deleted once it is committed.
+has, the range of its upload numbers, the stream and micro-batch it came from, if any, and earlier batches
+whose first mentions it holds too (``mentions.py``). Staged frames of a batch are deleted once it is
+committed. Commit rows are read once per version of the store.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from remitframe.contracts import conform, schema_of
+from remitframe.contracts import LOOKED_UP, conform, schema_of
 
 _COMMITS = ("batch long, first_seq long, last_seq long, tables array<string>, stream string, "
-            "stream_batch long, committed_at timestamp")
+            "stream_batch long, committed_at timestamp, merged array<long>, mentions long")
 # Ids hold an upload number above a 31-bit position.
 MAX_SEQ = (1 << 32) - 1
 
@@ -25,38 +25,71 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._written: dict[int, set[str]] = {}
+        self._version, self._rows = None, []
+
+    def _hadoop(self, path: str):
+        context = self.spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(context._jsc.hadoopConfiguration())
 
     def folder(self, table: str, batch: int) -> str:
         return f"{self.path}/{table}/batch={batch}"
 
-    def _commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return None
+    def _commits(self) -> list[Row]:
+        """Commit rows in order, one small row a batch. Read again only if their folder has changed."""
+        folder, files = self._hadoop(f"{self.path}/commits")
+        if not files.exists(folder):
+            return []
+        size = files.getContentSummary(folder)
+        version = size.getDirectoryCount(), size.getFileCount(), size.getLength()
+        if version != self._version:
+            self._rows = sorted(self.spark.read.schema(_COMMITS).parquet(
+                f"{self.path}/commits").collect(), key=lambda r: r.batch)
+            self._version = version
+        return self._rows
 
     def batches(self) -> list[int]:
-        """Committed batches. One small row each, so the list fits the driver."""
-        commits = self._commits()
-        return [] if commits is None else sorted(
-            r.batch for r in commits.select("batch").distinct().collect())
+        return [r.batch for r in self._commits()]
+
+    def live(self, table: str) -> list[Row]:
+        """Commits of the batches that a table is read from."""
+        commits = [r for r in self._commits() if table in r.tables]
+        if table == "first_mentions":
+            gone = {b for r in commits for b in r.merged or ()}
+            commits = [r for r in commits if r.batch not in gone]
+        return commits
 
     def last_seq(self) -> int:
         """Highest upload number handed out so far."""
-        commits = self._commits()
-        return 0 if commits is None else (commits.agg(F.max("last_seq")).first()[0] or 0)
+        return max((r.last_seq for r in self._commits()), default=0)
 
     def write(self, table: str, batch: int, df: DataFrame) -> DataFrame:
         """Write the rows a batch adds to a table and read them back."""
         self._written.setdefault(batch, set()).add(table)
-        conform(df, table).write.mode("overwrite").parquet(self.folder(table, batch))
+        self._writer(table, df).mode("overwrite").parquet(self.folder(table, batch))
         return self.written(table, batch)
 
+    @staticmethod
+    def _writer(table: str, df: DataFrame):
+        """A lookup by one of the ``LOOKED_UP`` columns skips the row groups that lack its value. The
+        filters are sized by what they hold."""
+        writer = conform(df, table).write.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for column in LOOKED_UP.get(table, ()):
+            # Candidates from 1 MB down to 2 KB; the smallest that is good enough is stored.
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
+                f"parquet.bloom.filter.candidates.number#{column}", "10")
+        return writer
+
+    def write_parts(self, table: str, batch: int, df: DataFrame, part: str) -> None:
+        """Write what a batch adds in a folder per value of ``part``, each by one task."""
+        self._written.setdefault(batch, set()).add(table)
+        columns = schema_of(table).names
+        df.repartition(part).sortWithinPartitions(part, *columns).write.mode(
+            "overwrite").partitionBy(part).parquet(self.folder(table, batch))
+
     def append(self, table: str, batch: int, df: DataFrame) -> None:
         """Add rows to what ``write`` wrote in the same run of the batch."""
-        conform(df, table).write.mode("append").parquet(self.folder(table, batch))
+        self._writer(table, df).mode("append").parquet(self.folder(table, batch))
 
     def written(self, table: str, batch: int) -> DataFrame:
         """Rows of one batch, committed or not."""
@@ -80,12 +113,11 @@ class Store:
 
     def has_stream_batch(self, stream: str, number: int) -> bool:
         """Whether this micro-batch of this stream is already committed."""
-        commits = self._commits()
-        return commits is not None and not commits.where(
-            (F.col("stream") == stream) & (F.col("stream_batch") == number)).isEmpty()
+        return any(r.stream == stream and r.stream_batch == number for r in self._commits())
 
     def commit(self, batch: int, first_seq: int, last_seq: int, stream: str | None = None,
-               stream_batch: int | None = None) -> None:
+               stream_batch: int | None = None, merged: list[int] | None = None,
+               mentions: int = 0) -> None:
         """Make the tables that ``write`` wrote for this batch visible, all at once."""
         if last_seq > MAX_SEQ:
             raise ValueError(f"upload number {last_seq} does not fit in an id")
@@ -97,17 +129,16 @@ class Store:
                 "array<string>").alias("tables"),
             F.lit(stream).cast("string").alias("stream"),
             F.lit(stream_batch).cast("long").alias("stream_batch"),
-            F.current_timestamp().alias("committed_at")
+            F.current_timestamp().alias("committed_at"),
+            F.array(*[F.lit(b) for b in merged or ()]).cast("array<long>").alias("merged"),
+            F.lit(mentions).cast("long").alias("mentions")
         ).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
         self._delete_staged(batch)
 
     def _delete_staged(self, batch: int) -> None:
         """Removes what ``stage`` wrote for a batch: nothing reads it after the commit."""
-        context = self.spark.sparkContext
-        hadoop = context._jvm.org.apache.hadoop.fs.Path
-        staging = hadoop(f"{self.path}/staging")
-        files = staging.getFileSystem(context._jsc.hadoopConfiguration())
-        for found in files.globStatus(hadoop(f"{self.path}/staging/*/batch={batch}")) or ():
+        staging, files = self._hadoop(f"{self.path}/staging/*/batch={batch}")
+        for found in files.globStatus(staging) or ():
             files.delete(found.getPath(), True)
 
     def read(self, table: str, upload_seq: int | None = None) -> DataFrame:
@@ -115,15 +146,16 @@ class Store:
 
         Given an upload number, only the batch that holds it is read.
         """
-        commits = self._commits()
-        folders = []
-        if commits is not None:
-            if upload_seq is not None:
-                commits = commits.where(F.lit(upload_seq).between(
-                    F.col("first_seq"), F.col("last_seq")))
-            folders = [self.folder(table, r.batch) for r in commits.where(
-                F.array_contains("tables", table)).select("batch").distinct().orderBy(
-                "batch").collect()]
+        folders = [self.folder(table, r.batch) for r in self.live(table)
+                   if upload_seq is None or r.first_seq <= upload_seq <= r.last_seq]
         if not folders:
             return self.spark.createDataFrame([], schema_of(table))
-        return self.spark.read.schema(schema_of(table)).parquet(*folders)
+        return self.parts(table, folders).select(*schema_of(table).names)
+
+    def parts(self, table: str, folders: list[str], **columns: str) -> DataFrame:
+        """Rows in folders of a table, with ``columns`` that its folder names hold."""
+        schema = schema_of(table)
+        for name, kind in columns.items():
+            schema = schema.add(name, kind)
+        return self.spark.read.option("basePath", f"{self.path}/{table}").schema(schema).parquet(
+            *folders)

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from remitframe.contracts import TABLES
+from remitframe.operators.reconcile import first_mentions
 from remitframe.operators.scan import local_scan
 from remitframe.operators.segments import explode_segments, mark_segments
 from remitframe.plans import reads
@@ -21,6 +22,7 @@ from remitframe.plans.ingest import ingest
 from remitframe.sources.codes import load_code_masters
 from remitframe.sources import ranges
 from remitframe.sources.files import Source, from_whole, read_edi
+from remitframe.sources.mentions import Mentions, bucket_of
 from remitframe.sources.store import Store
 from remitframe.streaming.incremental import stream_ingest
 from tests.edi_texts import (
@@ -318,6 +320,84 @@ def test_lookups_read_one_batch(spark, tmp_path):
     assert reads.find_claims(store, claim_number="A1").count() == 1
 
 
+def files_read(df):
+    """How many files the scan of a plan without exchanges opened."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numFiles").value()
+
+
+def test_matching_state_stays_small(spark, tmp_path):
+    """However many batches there were, one opens few folders of the partitions it touches."""
+    store = Store(spark, str(tmp_path / "store"))
+    expected, opened = {}, []
+    for k in range(14):
+        numbers = [f"N{k * 2}", f"N{k * 2 + 1}", "SAME"][:3 if k else 40]
+        claims = spark.createDataFrame([(n, k * 10 + i) for i, n in enumerate(numbers)],
+                                       "claim_number string, claim_id long")
+        state = Mentions(store, most_live=3)
+        known = state.known(claims)
+        if known is not None:
+            assert {r.claim_number: r.claim_id for r in known.collect()} == {
+                n: expected[n] for n in numbers if n in expected}
+            touched = [r.b for r in claims.select(bucket_of(F.col("claim_number")).alias("b")).collect()]
+            opened.append(files_read(state.stored(touched)))
+        state.add(k, first_mentions(claims, claims.selectExpr(
+            "claim_number", "claim_id AS remittance_claim_id").limit(0), known))
+        store.commit(k, k + 1, k + 1, merged=state.merged, mentions=state.rows)
+        for i, n in enumerate(numbers):
+            expected.setdefault(n, k * 10 + i)
+    assert {r.claim_number: r.claim_id for r in store.read("first_mentions").collect()} == expected
+    assert store.read("first_mentions").count() == len(expected)
+    assert len(store.live("first_mentions")) <= 3 and max(opened) <= 9
+
+
+def rows_scanned(df):
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_what_lacks_the_value(spark, tmp_path):
+    """Twenty batches whose numbers, members and payments lie all over: one batch's rows are read."""
+    store = Store(spark, str(tmp_path / "store"))
+    for k in range(20):
+        frame = spark.range(0, 300, 1, 1).select(
+            F.format_string("C%09d", F.col("id") * 20 + k).alias("claim_number"),
+            F.format_string("M%09d", F.col("id") * 20 + k).alias("patient_member_id"),
+            (F.col("id") * 20 + k).alias("claim_id"))
+        for table in ("claims", "remittance_claims", "status_updates"):
+            store.write(table, k, frame)
+        store.commit(k, k + 1, k + 1)
+    for table, column, value in (
+            ("claims", "claim_number", "C000002007"), ("claims", "patient_member_id", "M000002007"),
+            ("remittance_claims", "claim_number", "C000002007"),
+            ("remittance_claims", "claim_id", 2007), ("status_updates", "claim_id", 2007)):
+        found = store.read(table).where(F.col(column) == value)
+        assert found.count() == 1
+        assert rows_scanned(found) <= 900, (table, column)   # false positives are rare
+    size = sum(p.stat().st_size for p in (tmp_path / "store" / "claims").rglob("*.parquet"))
+    assert size < 20 * 40_000
+
+
+def test_commits_are_read_once_a_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    ingest(_one(spark, "a", SAMPLE_837, tmp_path), store, as_of_date=AS_OF)
+    store.read("claims")
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    spark.sparkContext.setJobGroup("reads", "reads")
+    try:
+        for table in TABLES:
+            store.read(table)
+        jobs = tracker.getJobIdsForGroup("reads")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
+    # Another handle's commit is seen.
+    ingest(_one(spark, "b", SAMPLE_835, tmp_path), Store(spark, store.path), as_of_date=AS_OF)
+    assert store.batches() == [0, 1] and store.read("remittance_claims").count() == 2
+
+
 def test_two_streams_into_one_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     for name in ("first", "second"):
