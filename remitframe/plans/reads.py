@@ -21,16 +21,40 @@ def current_claims(store: Store) -> DataFrame:
     return with_current_status(store.read("claims"), store.read("status_updates"))
 
 
+def _page_batches(store: Store, needed: int, before: datetime | None) -> list[int] | None:
+    """The batches that a page lies in, found in the commit rows alone.
+
+    Newest first, batches are taken until they hold ``needed`` claims, and then those that have a claim
+    as new as any of these. None if a commit does not say when its claims were made.
+    """
+    commits = [r for r in store.live("claims") if r.claims != 0]
+    if any(r.newest is None for r in commits):
+        return None
+    taken, n, oldest = [], 0, None
+    for r in sorted(commits, key=lambda r: r.newest, reverse=True):
+        if n >= needed and r.newest < oldest:
+            break
+        if before is not None and r.oldest > before:
+            continue
+        taken.append(r.batch)
+        # A batch that may lie on both sides of the page's start is taken but not counted.
+        if n < needed and (before is None or r.newest < before):
+            n += r.claims
+            oldest = r.oldest if oldest is None else min(oldest, r.oldest)
+    return taken
+
+
 def list_claims(store: Store, skip: int = 0, limit: int = 100,
                 before: tuple[datetime, int] | None = None) -> DataFrame:
     """A page of claims, newest first; ties on the upload time go by id.
 
     ``before`` is (created_at, claim_id) of the last claim of the page before this one. It is pushed
     into the scan, and each task keeps ``limit`` rows however deep the page is, while ``skip`` has
-    it keep all rows skipped as well. The page is cut before the status is looked up, so the join
-    side is at most ``limit`` rows.
+    it keep all rows skipped as well. Only the batches that the page lies in are read. The page is cut
+    before the status is looked up, so the join side is at most ``limit`` rows.
     """
-    claims = store.read("claims").drop(*_RAW)
+    claims = store.read("claims", batches=_page_batches(
+        store, skip + limit, before and before[0])).drop(*_RAW)
     if before is not None:
         time, last = (F.lit(v) for v in before)
         claims = claims.where((F.col("created_at") <= time) & (

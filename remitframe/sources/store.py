@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from remitframe.contracts import LOOKED_UP, conform, schema_of
 
 _COMMITS = ("batch long, first_seq long, last_seq long, tables array<string>, stream string, "
-            "stream_batch long, committed_at timestamp, merged array<long>, mentions long")
+            "stream_batch long, committed_at timestamp, merged array<long>, mentions long, "
+            "claims long, oldest timestamp, newest timestamp")
 # Ids hold an upload number above a 31-bit position.
 MAX_SEQ = (1 << 32) - 1
 
@@ -118,10 +119,20 @@ class Store:
     def commit(self, batch: int, first_seq: int, last_seq: int, stream: str | None = None,
                stream_batch: int | None = None, merged: list[int] | None = None,
                mentions: int = 0) -> None:
-        """Make the tables that ``write`` wrote for this batch visible, all at once."""
+        """Make the tables that ``write`` wrote for this batch visible, all at once.
+
+        The row also says how many claims the batch made and when, so that pages need not look.
+        """
         if last_seq > MAX_SEQ:
             raise ValueError(f"upload number {last_seq} does not fit in an id")
-        self.spark.range(1).select(
+        made = self.spark.range(1).select(
+            F.lit(0).cast("long").alias("claims"), *[F.lit(None).cast("timestamp").alias(n)
+                                                    for n in ("oldest", "newest")])
+        if "claims" in self._written.get(batch, ()):
+            made = self.written("claims", batch).agg(
+                F.count(F.lit(1)).alias("claims"), F.min("created_at").alias("oldest"),
+                F.max("created_at").alias("newest"))
+        made.select(
             F.lit(batch).cast("long").alias("batch"),
             F.lit(first_seq).cast("long").alias("first_seq"),
             F.lit(last_seq).cast("long").alias("last_seq"),
@@ -131,7 +142,7 @@ class Store:
             F.lit(stream_batch).cast("long").alias("stream_batch"),
             F.current_timestamp().alias("committed_at"),
             F.array(*[F.lit(b) for b in merged or ()]).cast("array<long>").alias("merged"),
-            F.lit(mentions).cast("long").alias("mentions")
+            F.lit(mentions).cast("long").alias("mentions"), "claims", "oldest", "newest"
         ).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
         self._delete_staged(batch)
 
@@ -141,13 +152,15 @@ class Store:
         for found in files.globStatus(staging) or ():
             files.delete(found.getPath(), True)
 
-    def read(self, table: str, upload_seq: int | None = None) -> DataFrame:
+    def read(self, table: str, upload_seq: int | None = None,
+             batches: list[int] | None = None) -> DataFrame:
         """Committed rows of a table, under its contract; empty before the first commit.
 
         Given an upload number, only the batch that holds it is read.
         """
         folders = [self.folder(table, r.batch) for r in self.live(table)
-                   if upload_seq is None or r.first_seq <= upload_seq <= r.last_seq]
+                   if (upload_seq is None or r.first_seq <= upload_seq <= r.last_seq)
+                   and (batches is None or r.batch in batches)]
         if not folders:
             return self.spark.createDataFrame([], schema_of(table))
         return self.parts(table, folders).select(*schema_of(table).names)

@@ -380,6 +380,44 @@ def test_lookups_skip_what_lacks_the_value(spark, tmp_path):
     assert size < 20 * 40_000
 
 
+def test_a_page_reads_the_batches_it_lies_in(spark, tmp_path):
+    """Claims of one batch have one time, or several that overlap with those of other batches."""
+    store = Store(spark, str(tmp_path / "store"))
+    for k in range(8):
+        minute = F.lit(10 * k) if k < 5 else F.lit(10 * k) + F.col("id") - 12
+        store.write("claims", k, spark.range(0, 20, 1, 1).select(
+            (F.col("id") + 100 * k).alias("claim_id"), F.timestamp_seconds(
+                1_700_000_000 + 60 * minute).alias("created_at")))
+        store.commit(k, k + 1, k + 1)
+    store.write("claims", 8, store.read("claims").limit(0))
+    store.commit(8, 9, 9)
+
+    def batches(page):
+        return {int(f.split("/batch=")[1].split("/")[0]) for f in page.inputFiles()
+                if "/claims/" in f}
+    expected = [r.claim_id for r in store.read("claims").orderBy(
+        F.desc("created_at"), F.desc("claim_id")).collect()]
+    got, before = [], None
+    while True:
+        page = reads.list_claims(store, limit=15, before=before)
+        assert len(batches(page)) <= 4
+        rows_ = page.collect()
+        if not rows_:
+            break
+        got += [r.claim_id for r in rows_]
+        before = rows_[-1].created_at, rows_[-1].claim_id
+    assert got == expected
+    assert batches(reads.list_claims(store, 0, 5)) == {6, 7}
+    late = reads.list_claims(store, 80, 20)
+    assert [r.claim_id for r in late.collect()] == expected[80:100]
+    assert 0 not in batches(late)
+    assert batches(reads.list_claims(store, 0, 20, before=(rows_at(store, 3), 0))) == {2, 3}
+
+
+def rows_at(store, batch):
+    return store.read("claims", batches=[batch]).agg(F.max("created_at")).first()[0]
+
+
 def test_commits_are_read_once_a_version(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     ingest(_one(spark, "a", SAMPLE_837, tmp_path), store, as_of_date=AS_OF)
