@@ -14,12 +14,13 @@ at a time:
    suffixes of the differing ones are sorted to the depth ``length``. They are laid out with their
    anchors at multiples of ``COVER``. The strings at the places of a difference cover are ranked
    first; a suffix is then ordered by the rank at the next cover place, which resolves long
-   ties, and by the few bytes the rank leaves out. Bytes are compared, not hashes.
+   ties, and by the few bytes the rank leaves out. Strings whose hash no other has are left out of the
+   sort; what counts as equal is decided by bytes.
 3. All but the first of each class of equal strings go back to their documents as runs of starts.
 
 What occurs often in one Arrow batch leaves it once. An anchor with over ``hot_contexts`` contexts
-would still be too much for a task: its strings are dealt out singly, by 128-bit hashes. The list of
-such anchors is shorter than (all anchors) / ``hot_contexts``.
+would still be too much for a task: its strings are dealt out singly, by 128-bit hashes, and there, and
+only there, equal hashes count as equal strings. The list of such anchors is shorter than (all anchors) / ``hot_contexts``.
 
 Defined results: a null text is empty; rows with a null id come after all others; rows with the
 same id are ordered by their text, then arbitrarily (they are then equal); an empty table gives an
@@ -193,6 +194,16 @@ def repeated_starts(contexts: list[tuple[int, int, int, int, bytes]], length: in
     starts = np.repeat(np.array(layout), counts) + within
     docs = np.repeat(np.array([c[0] for c in contexts], np.int64), counts)
     places = np.repeat(np.array([c[1] for c in contexts], np.int64), counts) + within
+    # A string without another of its hash has no equal; only the others are sorted, and compared.
+    hashes = gram_hashes(text[:at], length)[starts]
+    by_hash = np.argsort(hashes)
+    twin = hashes[by_hash][1:] == hashes[by_hash][:-1]
+    shared = np.zeros(len(starts), bool)
+    shared[by_hash[1:][twin]] = True
+    shared[by_hash[:-1][twin]] = True
+    if not shared.any():
+        return docs[:0], places[:0]
+    starts, docs, places = starts[shared], docs[shared], places[shared]
     # The next cover place at or after each start is near.
     gap = np.array([next(g for g in range(COVER) if is_cover[(r + g) % COVER])
                     for r in range(COVER)])[starts % COVER]
@@ -288,7 +299,7 @@ def _repeated_anchors(docs: DataFrame, tasks: int, buckets: int, hot: int, lengt
         tell, "doc long, places binary, hot binary")
 
 
-def _append(out: list[list], *values) -> None:
+def _append(out, *values) -> None:
     for column, value in zip(out, values, strict=True):
         column.append(value)
 
@@ -388,14 +399,17 @@ def _sorted_buckets(contexts: DataFrame, tasks: int, length: int) -> DataFrame:
     """Runs of repeated starts: ``doc`` and ``runs`` (packed starts and counts)."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
+            # Runs as plain numbers, one at a time; arrays of sorted starts beside them.
+            told: tuple[list[int], list[int], list[int]] = ([], [], [])
             docs: list[np.ndarray] = []
             runs: list[np.ndarray] = []
 
-            def tell(doc, start, n, docs=docs, runs=runs):
-                docs.append(np.atleast_1d(np.asarray(doc, np.int64)))
-                runs.append(np.stack([np.atleast_1d(np.asarray(start, np.int64)),
-                                      np.broadcast_to(np.asarray(n, np.int64),
-                                                      docs[-1].shape)], axis=1))
+            def tell_sorted(found, docs=docs, runs=runs):
+                docs.append(found[0])
+                runs.append(np.stack([found[1], np.ones(len(found[1]), np.int64)], axis=1))
+
+            def tell(*run, told=told):
+                _append(told, *run)
             by_anchor: dict[int, dict[bytes, tuple]] = {}
             single: dict[tuple[int, int], tuple[int, int]] = {}
             for anchor, doc, start, place, n, data, other in rows:
@@ -415,14 +429,17 @@ def _sorted_buckets(contexts: DataFrame, tasks: int, length: int) -> DataFrame:
             for distinct in by_anchor.values():
                 if len(distinct) > _BLOCK:
                     for part in _slices([(*v, d) for d, v in distinct.items()], length):
-                        tell(*repeated_starts(part, length), 1)
+                        tell_sorted(repeated_starts(part, length))
                 elif len(distinct) > 1:
                     block.extend((*v, data) for data, v in distinct.items())
                     if len(block) >= _BLOCK:
-                        tell(*repeated_starts(block, length), 1)
+                        tell_sorted(repeated_starts(block, length))
                         block = []
             if block:
-                tell(*repeated_starts(block, length), 1)
+                tell_sorted(repeated_starts(block, length))
+            if told[0]:
+                docs.append(np.array(told[0], np.int64))
+                runs.append(np.array(told[1:], np.int64).T)
             if docs:
                 doc, run = np.concatenate(docs), np.concatenate(runs)
                 found = list(_by_document(doc, np.arange(len(doc))))
