@@ -74,13 +74,20 @@ def status_updates(resolved: DataFrame) -> DataFrame:
                          position_of(F.col("at")).alias("segment_position"))
 
 
+def latest_updates(updates: DataFrame) -> DataFrame:
+    """The last update of each claim, with the time of the latest change."""
+    status, at = _last_status()
+    return updates.groupBy("claim_id").agg(
+        *_last_per_status(entity_id(F.col("upload_seq"), F.col("segment_position"))),
+        F.max("updated_at").alias("updated_at")).select(
+        "claim_id", status.alias("claim_status"), F.shiftright(at, 31).alias("upload_seq"),
+        position_of(at).alias("segment_position"), "updated_at")
+
+
 def with_current_status(claims: DataFrame, updates: DataFrame) -> DataFrame:
     """Claims with the status of their latest payment, and when it changed."""
-    status, _ = _last_status()
-    latest = updates.groupBy("claim_id").agg(
-        *_last_per_status(entity_id(F.col("upload_seq"), F.col("segment_position"))),
-        F.max("updated_at").alias("_changed")).select(
-        "claim_id", status.alias("_status"), "_changed")
+    latest = latest_updates(updates).select(
+        "claim_id", F.col("claim_status").alias("_status"), F.col("updated_at").alias("_changed"))
     return claims.join(latest, "claim_id", "left").withColumns({
         "claim_status": F.coalesce("_status", F.lit("submitted")),
         "updated_at": F.greatest("created_at", "_changed"),

@@ -13,7 +13,7 @@ from remitframe.operators.scan import apply_carry, chunk_carry, local_scan
 from remitframe.operators.segments import CHUNK_SEGMENTS, explode_segments, mark_segments
 from remitframe.session import fits_broadcast
 from remitframe.sources.files import Source
-from remitframe.sources.mentions import Mentions
+from remitframe.sources.keyed import KeyedTable
 from remitframe.sources.store import Store
 
 _COUNTED = {"claims": "claims_count", "claim_lines": "claim_lines_count",
@@ -73,7 +73,8 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     own_claims = store.write("claims", batch, claims.claims_837(good, late, as_of_date)
                              .withColumn("created_at", stamp))
     payments = store.stage("payments", batch, remits.remittances(good, late, as_of_date))
-    state = Mentions(store)
+    state = KeyedTable(store, "first_mentions", "claim_number")
+    statuses = KeyedTable(store, "status_updates", "claim_id", reconcile.latest_updates)
     known = state.known(own_claims.select("claim_number").unionByName(
         payments.select("claim_number")))
     if known is not None:
@@ -91,7 +92,6 @@ def ingest(source: Source, store: Store, batch: int | None = None,
         "adjustments": remits.adjustments(good),
         "remark_codes": remits.remark_codes(good),
         "raw_segments": archive.raw_segments(good),
-        "status_updates": reconcile.status_updates(resolved),
     }
     tables = {t: df.withColumns({"created_at": stamp, "updated_at": stamp})
               for t, df in tables.items()}
@@ -99,7 +99,9 @@ def ingest(source: Source, store: Store, batch: int | None = None,
         tables["edi_text"] = source.blocks
     # Independent writes, submitted together so that the cluster stays busy.
     with ThreadPoolExecutor(4) as pool:
-        for done in [pool.submit(store.write, t, batch, df) for t, df in tables.items()]:
+        for done in [pool.submit(statuses.add, batch, reconcile.status_updates(
+                resolved).withColumn("updated_at", stamp)),
+                     *[pool.submit(store.write, t, batch, df) for t, df in tables.items()]]:
             done.result()
     store.write("ingest_errors", batch, _errors(store, batch, files, catalogue, rejected))
     store.write("ingest_summary", batch, _summary(store, batch, files, catalogue, rejected))
@@ -107,7 +109,8 @@ def ingest(source: Source, store: Store, batch: int | None = None,
     if first_seq is not None and first_seq <= before:
         raise ValueError("a source has to number its files from 1")
     store.commit(batch, first_seq or before + 1, last_seq or before, stream, stream_batch,
-                 state.merged, state.rows)
+                 {k.table: k.merged for k in (state, statuses)},
+                 {k.table: k.rows for k in (state, statuses)})
     return batch
 
 

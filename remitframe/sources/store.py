@@ -4,24 +4,28 @@
 ``<path>/commits``, which is written last: readers see all of a batch or nothing, and a batch
 that is run again after a failure replaces its own folders. The row names the tables the batch
 has, the range of its upload numbers, the stream and micro-batch it came from, if any, and earlier batches
-whose first mentions it holds too (``mentions.py``). Staged frames of a batch are deleted once it is
+whose rows of a keyed table it holds too (``keyed.py``). Staged frames of a batch are deleted once it is
 committed. Commit rows are read once per version of the store.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from remitframe.contracts import LOOKED_UP, conform, schema_of
 
 _COMMITS = ("batch long, first_seq long, last_seq long, tables array<string>, stream string, "
-            "stream_batch long, committed_at timestamp, merged array<long>, mentions long, "
-            "claims long, oldest timestamp, newest timestamp")
+            "stream_batch long, committed_at timestamp, "
+            "merged map<string, array<long>>, held map<string, long>, claims long, oldest timestamp, newest timestamp")
 # Ids hold an upload number above a 31-bit position.
 MAX_SEQ = (1 << 32) - 1
 
 
+def _map(values: dict[str, Column]) -> Column:
+    return F.create_map(*[c for k, v in values.items() for c in (F.lit(k), v)])
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -54,11 +58,9 @@ class Store:
 
     def live(self, table: str) -> list[Row]:
         """Commits of the batches that a table is read from."""
-        commits = [r for r in self._commits() if table in r.tables]
-        if table == "first_mentions":
-            gone = {b for r in commits for b in r.merged or ()}
-            commits = [r for r in commits if r.batch not in gone]
-        return commits
+        commits = self._commits()
+        gone = {b for r in commits for b in (r.merged or {}).get(table, ())}
+        return [r for r in commits if table in r.tables and r.batch not in gone]
 
     def last_seq(self) -> int:
         """Highest upload number handed out so far."""
@@ -67,34 +69,34 @@ class Store:
     def write(self, table: str, batch: int, df: DataFrame) -> DataFrame:
         """Write the rows a batch adds to a table and read them back."""
         self._written.setdefault(batch, set()).add(table)
-        self._writer(table, df).mode("overwrite").parquet(self.folder(table, batch))
+        self._writer(table, conform(df, table)).mode("overwrite").parquet(self.folder(table, batch))
         return self.written(table, batch)
 
     @staticmethod
     def _writer(table: str, df: DataFrame):
         """A lookup by one of the ``LOOKED_UP`` columns skips the row groups that lack its value. The
         filters are sized by what they hold."""
-        writer = conform(df, table).write.option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer = df.write.option("parquet.bloom.filter.adaptive.enabled", "true")
         for column in LOOKED_UP.get(table, ()):
             # Candidates from 1 MB down to 2 KB; the smallest that is good enough is stored.
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
                 f"parquet.bloom.filter.candidates.number#{column}", "10")
         return writer
 
-    def write_parts(self, table: str, batch: int, df: DataFrame, part: str) -> None:
-        """Write what a batch adds in a folder per value of ``part``, each by one task."""
+    def write_parts(self, table: str, batch: int, df: DataFrame, bucket: Column) -> None:
+        """Write what a batch adds in a folder per ``bucket``, each by one task and sorted."""
         self._written.setdefault(batch, set()).add(table)
-        columns = schema_of(table).names
-        df.repartition(part).sortWithinPartitions(part, *columns).write.mode(
-            "overwrite").partitionBy(part).parquet(self.folder(table, batch))
+        rows = conform(df, table).withColumn("bucket", bucket).repartition("bucket")
+        self._writer(table, rows.sortWithinPartitions("bucket", *schema_of(table).names)).mode(
+            "overwrite").partitionBy("bucket").parquet(self.folder(table, batch))
 
     def append(self, table: str, batch: int, df: DataFrame) -> None:
         """Add rows to what ``write`` wrote in the same run of the batch."""
-        self._writer(table, df).mode("append").parquet(self.folder(table, batch))
+        self._writer(table, conform(df, table)).mode("append").parquet(self.folder(table, batch))
 
     def written(self, table: str, batch: int) -> DataFrame:
         """Rows of one batch, committed or not."""
-        return self.spark.read.schema(schema_of(table)).parquet(self.folder(table, batch))
+        return self.parts(table, [self.folder(table, batch)]).select(*schema_of(table).names)
 
     def stage(self, name: str, batch: int, df: DataFrame, family: str | None = None) -> DataFrame:
         """Write an intermediate frame of a batch and read it back, which cuts its lineage."""
@@ -117,8 +119,8 @@ class Store:
         return any(r.stream == stream and r.stream_batch == number for r in self._commits())
 
     def commit(self, batch: int, first_seq: int, last_seq: int, stream: str | None = None,
-               stream_batch: int | None = None, merged: list[int] | None = None,
-               mentions: int = 0) -> None:
+               stream_batch: int | None = None, merged: dict[str, list[int]] | None = None,
+               held: dict[str, int] | None = None) -> None:
         """Make the tables that ``write`` wrote for this batch visible, all at once.
 
         The row also says how many claims the batch made and when, so that pages need not look.
@@ -141,8 +143,10 @@ class Store:
             F.lit(stream).cast("string").alias("stream"),
             F.lit(stream_batch).cast("long").alias("stream_batch"),
             F.current_timestamp().alias("committed_at"),
-            F.array(*[F.lit(b) for b in merged or ()]).cast("array<long>").alias("merged"),
-            F.lit(mentions).cast("long").alias("mentions"), "claims", "oldest", "newest"
+            _map({t: F.array(*[F.lit(b) for b in old]) for t, old in (merged or {}).items()}).cast(
+                "map<string, array<long>>").alias("merged"),
+            _map({t: F.lit(n) for t, n in (held or {}).items()}).cast(
+                "map<string, long>").alias("held"), "claims", "oldest", "newest"
         ).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
         self._delete_staged(batch)
 

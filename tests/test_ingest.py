@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from remitframe.contracts import TABLES
-from remitframe.operators.reconcile import first_mentions
+from remitframe.operators.reconcile import first_mentions, latest_updates
 from remitframe.operators.scan import local_scan
 from remitframe.operators.segments import explode_segments, mark_segments
 from remitframe.plans import reads
@@ -22,7 +22,7 @@ from remitframe.plans.ingest import ingest
 from remitframe.sources.codes import load_code_masters
 from remitframe.sources import ranges
 from remitframe.sources.files import Source, from_whole, read_edi
-from remitframe.sources.mentions import Mentions, bucket_of
+from remitframe.sources.keyed import KeyedTable, bucket_of
 from remitframe.sources.store import Store
 from remitframe.streaming.incremental import stream_ingest
 from tests.edi_texts import (
@@ -335,7 +335,7 @@ def test_matching_state_stays_small(spark, tmp_path):
         numbers = [f"N{k * 2}", f"N{k * 2 + 1}", "SAME"][:3 if k else 40]
         claims = spark.createDataFrame([(n, k * 10 + i) for i, n in enumerate(numbers)],
                                        "claim_number string, claim_id long")
-        state = Mentions(store, most_live=3)
+        state = KeyedTable(store, "first_mentions", "claim_number", most_live=3)
         known = state.known(claims)
         if known is not None:
             assert {r.claim_number: r.claim_id for r in known.collect()} == {
@@ -344,7 +344,8 @@ def test_matching_state_stays_small(spark, tmp_path):
             opened.append(files_read(state.stored(touched)))
         state.add(k, first_mentions(claims, claims.selectExpr(
             "claim_number", "claim_id AS remittance_claim_id").limit(0), known))
-        store.commit(k, k + 1, k + 1, merged=state.merged, mentions=state.rows)
+        store.commit(k, k + 1, k + 1, merged={state.table: state.merged},
+                     held={state.table: state.rows})
         for i, n in enumerate(numbers):
             expected.setdefault(n, k * 10 + i)
     assert {r.claim_number: r.claim_id for r in store.read("first_mentions").collect()} == expected
@@ -352,6 +353,28 @@ def test_matching_state_stays_small(spark, tmp_path):
     assert len(store.live("first_mentions")) <= 3 and max(opened) <= 9
 
 
+def test_current_status_is_kept_not_recomputed(spark, tmp_path):
+    """Claims read a bounded number of folders with about a row a claim, whatever the history."""
+    store, expected = Store(spark, str(tmp_path / "store")), {}
+    for k in range(9):
+        updates = [(i, ("paid", "denied", "void")[(i + k) % 3], k + 1, i + 1)
+                   for i in range(12) if (i + k) % 4 != 0]
+        table = KeyedTable(store, "status_updates", "claim_id", latest_updates, most_live=3)
+        table.add(k, spark.createDataFrame(
+            updates, "claim_id long, claim_status string, upload_seq long, segment_position int"
+            ).withColumn("updated_at", F.timestamp_seconds(F.lit(1_700_000_000 + k))))
+        store.write("claims", k, spark.createDataFrame([(k,)], "claim_id long").withColumn(
+            "created_at", F.timestamp_seconds(F.lit(1_600_000_000))))
+        store.commit(k, k + 1, k + 1, merged={table.table: table.merged},
+                     held={table.table: table.rows})
+        expected |= {u[0]: (u[1], k) for u in updates}
+    assert len(store.live("status_updates")) <= 3
+    assert store.read("status_updates").count() <= 24
+    found = {r.claim_id: (r.claim_status, int(r.updated_at.timestamp()) - 1_700_000_000)
+             for r in reads.current_claims(store).collect()}
+    assert found == {i: expected[i] for i in range(9)}
+
+
 def rows_scanned(df):
     df.collect()
     leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
@@ -366,13 +389,13 @@ def test_lookups_skip_what_lacks_the_value(spark, tmp_path):
             F.format_string("C%09d", F.col("id") * 20 + k).alias("claim_number"),
             F.format_string("M%09d", F.col("id") * 20 + k).alias("patient_member_id"),
             (F.col("id") * 20 + k).alias("claim_id"))
-        for table in ("claims", "remittance_claims", "status_updates"):
+        for table in ("claims", "remittance_claims"):
             store.write(table, k, frame)
         store.commit(k, k + 1, k + 1)
     for table, column, value in (
             ("claims", "claim_number", "C000002007"), ("claims", "patient_member_id", "M000002007"),
             ("remittance_claims", "claim_number", "C000002007"),
-            ("remittance_claims", "claim_id", 2007), ("status_updates", "claim_id", 2007)):
+            ("remittance_claims", "claim_id", 2007)):
         found = store.read(table).where(F.col(column) == value)
         assert found.count() == 1
         assert rows_scanned(found) <= 900, (table, column)   # false positives are rare
