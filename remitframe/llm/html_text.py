@@ -18,6 +18,9 @@ the end). The tree is then laid out as text:
   annotations; what a ``use`` repeats is not followed;
 * an image shows its ``alt`` text, ``br`` and ``hr`` break lines, form fields show their value.
 
+What a page leaves unfinished at its end, a tag or a comment, shows nothing. Styles that come from
+stylesheet rules are not applied.
+
 All visible text is emitted, navigation and footers too: this is rendering, not article detection.
 
 Defined results: a null or empty page gives an empty text; malformed markup never fails; pages are
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -92,12 +96,37 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {})
         self.open = [self.root]
+        self.n_open: Counter[str] = Counter()   # open elements by tag
+
+    # What a page leaves unfinished, a tag or a comment, takes the rest of it, and shows none of it.
+
+    def _to_end(self, end: int) -> int:
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i):
+        return self._to_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._to_end(super().parse_endtag(i))
+
+    def parse_comment(self, i, report=1):
+        return self._to_end(super().parse_comment(i, report))
+
+    def parse_html_declaration(self, i):
+        return self._to_end(super().parse_html_declaration(i))
+
+    def parse_pi(self, i):
+        return self._to_end(super().parse_pi(i))
 
     def _end(self, depth: int) -> None:
+        for element in self.open[depth:]:
+            self.n_open[element.tag] -= 1
         del self.open[depth:]
 
     def _find(self, tags, borders) -> int | None:
         """Depth of the innermost open element of these tags within the borders."""
+        if not any(self.n_open[tag] for tag in tags):
+            return None
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.open[depth].tag
             if tag in tags:
@@ -126,14 +155,15 @@ class TreeBuilder(HTMLParser):
             inside = "tr"
         if tag == "tr" and inside == "table":
             self._push(Element("tbody", {}))
-        element = Element(tag, dict(attrs))
-        self.open[-1].children.append(element)
-        if tag not in VOID:
-            self.open.append(element)
+        if tag in VOID:
+            self.open[-1].children.append(Element(tag, dict(attrs)))
+        else:
+            self._push(Element(tag, dict(attrs)))
 
     def _push(self, element: Element) -> None:
         self.open[-1].children.append(element)
         self.open.append(element)
+        self.n_open[element.tag] += 1
 
     def _merge(self, tag, attrs):
         if tag == "html":
@@ -141,7 +171,7 @@ class TreeBuilder(HTMLParser):
         else:
             if self.open[-1].tag == "head":
                 self._end(len(self.open) - 1)
-            if not any(e.tag == "body" for e in self.open):
+            if not self.n_open["body"]:
                 self._push(Element("body", attrs))
 
     def handle_startendtag(self, tag, attrs):

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import re
+import time
 import zipfile
 import zlib
 from collections import defaultdict
@@ -299,3 +300,14 @@ def test_pages_of_a_table(spark):
     got = {r["id"]: (r["text"], r["n_chars"], r["n_lines"])
            for r in html_text.extract_text(pages).collect()}
     assert got == {1: ("a\n\nb", 4, 2), 2: ("", 0, 0), None: ("x", 1, 1)}
+
+
+@pytest.mark.parametrize("page, text", [
+    ("seen" + "<a " * 20_000, "seen"), ("seen<b></i>" * 20_000, "seen" * 20_000),
+    ("seen <!-- a <b>c</b>" * 2_000, "seen"), ("seen</x " * 20_000, "seen"),
+    ("seen <? a", "seen"), ("a < b <3 c", "a < b <3 c"), ("<p>one<p>two</p></p>", "one\n\ntwo"),
+])
+def test_unfinished_markup_is_neither_slow_nor_shown(page, text):
+    began = time.process_time()
+    assert html_text.render(page) == text
+    assert time.process_time() - began < 3
