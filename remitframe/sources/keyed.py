@@ -68,6 +68,11 @@ class KeyedTable:
 
     def add(self, batch: int, new: DataFrame) -> DataFrame:
         """Writes the rows that a batch adds, and gives them back."""
+        if not self.live:   # nothing to take over
+            self.store.write_parts(self.table, batch, new, bucket_of(F.col(self.key)))
+            new = self.store.written(self.table, batch)
+            self.rows = new.count()
+            return new
         new = self.store.stage(self.table, batch, new)
         self.rows = new.count()
         kept = list(self.live)
