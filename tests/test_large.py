@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from remitframe.session import few_listing_tasks, small_methods
-from remitframe.sources.files import RANGE_BYTES, range_tasks
+from remitframe.sources.files import RANGE_BYTES, listing_of, range_tasks
+from remitframe.sources.store import Store
+from remitframe.streaming.incremental import stream_ingest
 
 
 def test_small_ranges_do_not_mean_many_tasks():
@@ -14,6 +16,19 @@ def test_small_ranges_do_not_mean_many_tasks():
     assert range_tasks(0, 0, 8, small) == 1
 
 
+def test_a_large_backlog_is_read_in_few_micro_batches(spark, tmp_path):
+    for n in range(7):
+        (tmp_path / "in" / str(n)).mkdir(parents=True)
+        (tmp_path / "in" / str(n) / "a.edi").write_text("none")
+    folder = f"file:{tmp_path}/in"
+    assert listing_of(spark, folder).count() == 7
+    stream_ingest(spark, folder, f"{tmp_path}/store", f"{tmp_path}/point", as_of_date="2020-01-01",
+                  files_per_batch=1, most_batches=2).awaitTermination()
+    store = Store(spark, f"{tmp_path}/store")
+    assert [r.last_seq - r.first_seq + 1 for r in store._commits()] == [4, 3]
+    assert store.read("ingest_summary").count() == 7
+
+
 def test_settings_go_back(spark):
     names = ("spark.sql.codegen.hugeMethodLimit",
              "spark.sql.sources.parallelPartitionDiscovery.parallelism")
