@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from remitframe.functions.edi import is_blank, overflows, safe_date, segment_name, strip
+from remitframe.operators.integrity import with_row_rules
 from remitframe.operators.ordinal import sorted_partitions
+from remitframe.operators.segments import explode_segments, mark_segments
+from remitframe.plans.ingest import annotate
+from remitframe.session import setting
+from remitframe.sources.files import Source
 
 
 def test_columns_are_made_behind_the_sort_and_once(spark):
@@ -42,3 +48,35 @@ def test_quick_text_functions_keep_the_results(spark):
             "2023010": None, "99991231": dt.date(9999, 12, 31), None: None}
     got = spark.createDataFrame([(t,) for t in days], "t string").select("t", safe_date(c).alias("d"))
     assert {r.t: r.d for r in got.collect()} == days
+
+
+class _Staged(Exception):
+    pass
+
+
+def _blocks(spark, text):
+    return spark.createDataFrame([(1, 0, 0, text, "*", ":", "~")], (
+        "upload_seq long, chunk long, block_seq long, text string, element_sep string, "
+        "component_sep string, terminator string"))
+
+
+def test_segments_are_split_only_before_the_scan(spark):
+    class Store:
+        def stage(self, name, batch, df, family=None):
+            raise _Staged(df._jdf.queryExecution().optimizedPlan().toString())
+    with setting(spark, "spark.sql.debug.maxToStringFields", "1000"), pytest.raises(
+            _Staged) as staged:
+        annotate(Source(None, _blocks(spark, "ST*837*1~")), Store(), 0)
+    above, scan, below = str(staged.value).partition("MapInArrow")
+    assert scan and "split(" not in above and "split(" in below
+
+
+def test_row_rules_from_the_elements_of_the_marks(spark):
+    units = {"0": None, "0e999": None, "000000000000": None, "99999999": None, "x": None,
+             "123456789": "numeric overflow in claim_lines.units",
+             "1e9": "numeric overflow in claim_lines.units"}
+    text = "".join(f"SV1*HC:1*10*UN*{u}*11~" for u in units) + "SV1*HC:1*10*UN*1*999~HI*A:" + "9" * 11 + "~"
+    marked = mark_segments(explode_segments(_blocks(spark, text)), keep_elements=True)
+    got = [r.row_rule for r in with_row_rules(marked).orderBy("idx").collect()]
+    assert got == [*units.values(), "value too long for claim_lines.place_of_service(2)",
+                   "value too long for diagnoses.diagnosis_code(10)"]
