@@ -14,6 +14,7 @@ from remitframe.operators.segments import explode_segments, mark_segments
 from remitframe.plans.ingest import annotate
 from remitframe.session import setting
 from remitframe.sources.files import Source
+from starcheck import queries as star
 
 
 def test_columns_are_made_behind_the_sort_and_once(spark):
@@ -80,3 +81,29 @@ def test_row_rules_from_the_elements_of_the_marks(spark):
     got = [r.row_rule for r in with_row_rules(marked).orderBy("idx").collect()]
     assert got == [*units.values(), "value too long for claim_lines.place_of_service(2)",
                    "value too long for diagnoses.diagnosis_code(10)"]
+
+
+def test_scoring_reads_its_features_once(spark, monkeypatch):
+    rows, built = spark.sparkContext.accumulator(0), []
+
+    def counted(v):
+        rows.add(1)
+        return v
+
+    class Model:
+        def transform(self, df, validate, keep):
+            return df.withColumn("f", F.udf(counted, "long")("f"))
+
+    def scores(features, model):
+        return features.select("claim_id", "denied", F.lit(0.1).alias("denial_probability"),
+                               F.lit("low").alias("risk_level"))
+    frame = spark.range(20).select(F.col("id").alias("claim_id"), F.lit(0).alias("denied"), "id",
+                                   F.col("id").alias("f"))
+    for name, value in {"star_model": lambda *a: Model(), "star_store": lambda *a: None,
+                        "build_dataset": lambda s: frame, "score_denials": scores,
+                        "train_denial_model": lambda f: [built.append(f.agg(F.sum("f")).first())
+                                                         for _ in range(3)]}.items():
+        monkeypatch.setattr(star, name, value)
+    got = star.denial_scores(spark, "none")
+    assert got.where("in_range and in_band").count() == 20 and len(built) == 3
+    assert rows.value == 20
