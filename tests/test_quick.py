@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from remitframe.functions.edi import is_blank, overflows, safe_date, segment_name, strip
+from remitframe.operators.features import CATEGORICAL, FeatureEngineer
 from remitframe.operators.integrity import with_row_rules
 from remitframe.operators.ordinal import sorted_partitions
 from remitframe.operators.segments import explode_segments, mark_segments
@@ -107,3 +108,27 @@ def test_scoring_reads_its_features_once(spark, monkeypatch):
     got = star.denial_scores(spark, "none")
     assert got.where("in_range and in_band").count() == 20 and len(built) == 3
     assert rows.value == 20
+
+
+@pytest.mark.parametrize("run", ["features", "features_saved", "at_once"])
+def test_claims_are_joined_once_for_fit_and_features(spark, monkeypatch, run):
+    """Each row of the training frame is computed once, though the fit and the features both read it."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        rows.add(1)
+        return v
+    frame = spark.range(20).select(
+        F.col("id").alias("claim_id"), F.udf(counted, "double")(F.col("id").cast("double")).alias(
+            "total_charge_amount"), F.lit(2).alias("line_count"), F.lit(1).alias("diagnosis_count"),
+        *[F.lit(1.0).alias(c) for c in ("total_units", "total_billed_amount")],
+        *[F.lit("2020-01-01").cast("date").alias(c) for c in ("service_from_date",
+                                                              "service_to_date")],
+        F.lit(True).alias("has_modifier"), *[F.lit("A").alias(c) for c in CATEGORICAL])
+    for name, value in {"star_store": lambda *a: None, "build_dataset": lambda s: frame,
+                        "_models": {}}.items():
+        monkeypatch.setattr(star, name, value)
+    got = FeatureEngineer().fit_transform(frame) if run == "at_once" else star.queries()[run](
+        spark, "none")
+    assert got.agg(F.sum("high_charge_claim")).first()[0] == 5
+    assert rows.value == 20
