@@ -7,7 +7,9 @@ from pathlib import Path
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from remitframe.contracts import schema_of
 from remitframe.operators.ordinal import sorted_partitions
 from remitframe.plans import ingest as plan
 from remitframe.session import FILE_BITS, kept_in_files
@@ -63,6 +65,31 @@ def test_stored_and_staged_tables_are_compressed(spark, tmp_path):
     assert {pq.read_metadata(f).row_group(0).column(0).compression for f in files} == {"ZSTD"}
 
 
+def test_no_search_for_repeats_where_there_are_few(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.range(10).select(F.lit("CLM").alias("segment_name"), F.lit(1).alias("claim_id"),
+                                  F.lit("CLM*1").alias("raw_segment_text"))
+    store.stage("plain", 0, rows)
+    store.write("raw_segments", 0, rows)
+    found = {}
+    for file in (f for f in tmp_path.rglob("*.parquet") if pq.read_metadata(f).num_rows):
+        group = pq.read_metadata(file).row_group(0)
+        for i in range(group.num_columns):
+            column = group.column(i)
+            found[file.relative_to(tmp_path).parts[0], column.path_in_schema] = column.encodings
+    with_dictionary = {k for k, v in found.items() if any("DICTIONARY" in e for e in v)}
+    assert ("raw_segments", "segment_name") in with_dictionary
+    assert not with_dictionary & {("staging", c) for c in rows.columns}
+    assert not with_dictionary & {("raw_segments", c) for c in ("claim_id", "raw_segment_text")}
+
+
+def test_contracts_are_parsed_once(spark, monkeypatch):
+    first = schema_of("claims")
+    monkeypatch.setattr(StructType, "fromDDL", None)
+    first.add("more", "long")
+    assert "more" not in schema_of("claims").names
+
+
 def test_files_are_read_whole_and_in_order(spark, tmp_path):
     """However small the pieces are that Spark reads files in."""
     n = 3 << FILE_BITS
