@@ -67,8 +67,10 @@ def test_stored_and_staged_tables_are_compressed(spark, tmp_path):
 
 def test_no_search_for_repeats_where_there_are_few(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    rows = spark.range(10).select(F.lit("CLM").alias("segment_name"), F.lit(1).alias("claim_id"),
-                                  F.lit("CLM*1").alias("raw_segment_text"))
+    # Values that all are equal: each column would get a dictionary.
+    rows = spark.range(1000, numPartitions=1).select(
+        F.lit("CLM").alias("segment_name"), F.lit(1).alias("claim_id"),
+        F.lit("CLM*1").alias("raw_segment_text"))
     store.stage("plain", 0, rows)
     store.write("raw_segments", 0, rows)
     found = {}
